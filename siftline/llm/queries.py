@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import bpe, packing, token_counts, token_files
+from siftline.llm import bpe, fingerprints, langid, packing, quality, token_counts, token_files, warc
 from siftline.llm.vocab import public
 
 
@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public("byte_bpe_multi_50k.tiktoken"))
 
@@ -36,11 +40,36 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality.judge(documents, table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_digests(table(spark, sf_dir, "pages"))
+
+
+#: Rows of this remainder are held out from training.
+HELD_OUT = "crc32(CAST(doc_id AS STRING)) % 4 = 2"
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(documents, public("byte_bpe_multi_50k.tiktoken"), learn=f"NOT {HELD_OUT.replace('doc_id', 'id')}")
+    predicted = langid.predict(documents.select("doc_id", "text"), model)
+    return predicted.selectExpr("doc_id", f"{HELD_OUT} AS held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_token_counts": op3_token_counts,
     "op5_token_files": op5_token_files,
     "op6_packing": op6_packing,
+    "op8_quality": op8_quality,
+    "op9_warc": op9_warc,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
