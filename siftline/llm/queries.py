@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import bpe, fingerprints, langid, packing, quality, token_counts, token_files, warc
+from siftline.llm import bpe, fingerprints, langid, ngram_join, packing, quality, token_counts, token_files, warc
 from siftline.llm.vocab import public
 
 
@@ -40,6 +40,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality.judge(documents, table(spark, sf_dir, "labels"))
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op5_token_files": op5_token_files,
     "op6_packing": op6_packing,
+    "op7_ngram_join": op7_ngram_join,
     "op8_quality": op8_quality,
     "op9_warc": op9_warc,
     "op10_language_id": op10_language_id,
