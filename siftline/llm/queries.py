@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import bpe, fingerprints, langid, ngram_join, packing, quality, token_counts, token_files, warc
+from siftline.llm import bpe, fingerprints, langid, ngram_join, packing, quality, suffix_dedup, token_counts, token_files, warc
 from siftline.llm.vocab import public
 
 
@@ -32,6 +32,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.selectExpr("doc_id", "ifnull(octet_length(text), 0L) AS n_bytes", "n_tokens", "n_tokens > 4096 AS over_limit")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(table(spark, sf_dir, "documents"), public("byte_bpe_50k.json"))
 
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_token_counts": op3_token_counts,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_token_files": op5_token_files,
     "op6_packing": op6_packing,
     "op7_ngram_join": op7_ngram_join,
