@@ -7,8 +7,8 @@
    its mean.
 2. Two sets that link share a shingle among the first n - ceil(0.75 n) + 1 of
    either, in any common order.  Frequent shingles (by the sketch) come last in
-   the order, so that lists of documents under a shingle stay short.  Lists of
-   one document go, and of lists with the same documents one stays.
+   the order, so that lists of documents under a shingle stay short.  Documents
+   without a partner of fitting size go, and of equal lists one stays.
 3. The documents of a list are sorted by size and compared in tiles of size
    bands.  Differing bits of two bitmaps are a lower bound of the symmetric
    difference, hence an upper bound of the overlap; only pairs that the bound
@@ -22,6 +22,8 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -34,16 +36,43 @@ from siftline.llm.shingles import shingle_sets
 from siftline.llm.storage import written
 
 PERCENT, WIDTH = 75, 5
-#: Bits of a bitmap, bits of a sketch counter's number, documents of a tile.
-BITMAP, SKETCH, TILE = 1024, 22, 2048
+#: Least and most bits of a bitmap, bits of a sketch counter's number, documents of a tile.
+BITMAP, WIDEST, SKETCH, TILE = 1024, 1 << 16, 22, 2048
 BAND = 256
 
 
-def bitmaps(docs: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
-    """Parity bitmaps of n sets, [n, BITMAP / 64]."""
-    at = docs * BITMAP + (hashes >> np.uint64(40)).astype(np.int64) % BITMAP
-    parity = (np.bincount(at, minlength=n * BITMAP) & 1).astype(np.uint8).reshape(n, BITMAP)
-    return np.packbits(parity, axis=1).view(np.uint64)
+def widths(n: np.ndarray) -> np.ndarray:
+    """Bits of the bitmaps of sets of n shingles: a power of two, at least twice n within the limits."""
+    return np.clip(1 << np.ceil(np.log2(np.maximum(2 * n, 2))).astype(np.int64), BITMAP, WIDEST)
+
+
+def bitmaps(docs: np.ndarray, hashes: np.ndarray, n: int) -> list[bytes]:
+    """Parity bitmaps of n sets; one folded in half is the bitmap of half the bits."""
+    bits = widths(np.bincount(docs, minlength=n))
+    out: list = [b""] * n
+    for width in np.unique(bits).tolist():
+        members = np.flatnonzero(bits == width)
+        row = np.full(n, -1)
+        row[members] = np.arange(len(members))
+        own = row[docs] >= 0
+        at = row[docs[own]] * width + (hashes[own] >> np.uint64(40)).astype(np.int64) % width
+        parity = (np.bincount(at, minlength=len(members) * width) & 1).astype(np.uint8).reshape(-1, width)
+        for i, packed in zip(members.tolist(), np.packbits(parity, axis=1), strict=True):
+            out[i] = packed.tobytes()
+    return out
+
+
+def stacked(raw: list[bytes], width: int) -> np.ndarray:
+    """Bitmaps folded to ``width`` bits, as rows of 64-bit words."""
+    out = np.empty((len(raw), width // 64), np.uint64)
+    for size in {len(x) for x in raw}:
+        members = [i for i, x in enumerate(raw) if len(x) == size]
+        rows = np.frombuffer(b"".join(raw[i] for i in members), np.uint64).reshape(len(members), -1)
+        while rows.shape[1] > out.shape[1]:
+            half = rows.shape[1] // 2
+            rows = rows[:, :half] ^ rows[:, half:]
+        out[members] = rows
+    return out
 
 
 def profile(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -66,8 +95,7 @@ def profile(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes + np.uint64(salt)), dtype=np.uint64)))
                 ends = np.cumsum(count)
                 keys.append(pa.array((sums[ends] - sums[ends - count]).view(np.int64)))
-            raw = bitmaps(docs, hashes, n)
-            bits = pa.array([x.tobytes() for x in raw], pa.binary())
+            bits = pa.array(bitmaps(docs, hashes, n), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(count, pa.int64()), *keys, bits, pa.nulls(n, pa.int32())], names=names)
         heavy = np.flatnonzero(sketch > max(16, 8 * total >> SKETCH))
         n = len(heavy)
@@ -104,13 +132,23 @@ def postings(df: DataFrame, frequent: np.ndarray, id_col: str, text_col: str) ->
 
 
 def lists_of(posted: DataFrame) -> DataFrame:
-    """The lists of two documents or more, one of those with the same documents."""
-    shared = posted.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).filter("m > 1")
-    shared = written(shared, "lists")
+    """(shingle, id, n, m): documents that have a partner of fitting size under a shingle.
+
+    m is the number of documents in the list; of lists with the same documents
+    one stays.  All is found in the one shuffle by shingle.
+    """
+    by = Window.partitionBy("shingle")
+    near = posted.withColumns({"_less": F.lag("n").over(by.orderBy("n", "id")), "_more": F.lead("n").over(by.orderBy("n", "id"))})
+    near = near.filter(f"100 * _less >= {PERCENT} * n OR 100 * n >= {PERCENT} * _more").select("shingle", "id", "n")
     # two independent hashes and the size identify the documents of a list
-    marks = shared.groupBy("shingle").agg(F.sum(F.expr("xxhash64(id) >> 20")).alias("s1"), F.sum(F.expr("xxhash64(id, 1) >> 20")).alias("s2"), F.count(F.lit(1)).alias("m"))
-    one = marks.groupBy("s1", "s2", "m").agg(F.min("shingle").alias("shingle")).select("shingle")
-    return shared.join(one, "shingle", "left_semi").dropDuplicates(["shingle", "id"])
+    marked = near.withColumns({
+        "m": F.count(F.lit(1)).over(by),
+        "_s": F.sum(F.expr("xxhash64(id) >> 20")).over(by),
+        "_t": F.sum(F.expr("xxhash64(id, 1) >> 20")).over(by),
+        "_first": F.min("id").over(by),
+    })
+    one = marked.filter("id = _first").groupBy("_s", "_t", "m").agg(F.min("shingle").alias("shingle")).select("shingle")
+    return marked.select("shingle", "id", "n", "m").join(one, "shingle", "left_semi")
 
 
 def passing(n_a, bits_a, n_b, bits_b) -> np.ndarray:
@@ -121,46 +159,53 @@ def passing(n_a, bits_a, n_b, bits_b) -> np.ndarray:
     return 100 * overlap >= PERCENT * (both - overlap)
 
 
-def tile_pairs(n: np.ndarray, bits: np.ndarray, side: np.ndarray | None):
+def tile_pairs(n: np.ndarray, raw: list[bytes], side: np.ndarray | None):
     """Row indices (i, j) of passing pairs among rows sorted by size, band against band.
 
-    side: None, or 0 and 1 for rows of two parts; then only pairs across count.
+    A band has bitmaps of one width; of two the wider is folded.  side: None,
+    or True and False for rows of two parts; then only pairs across count.
     """
-    for i in range(0, len(n), BAND):
-        rows = slice(i, i + BAND)
-        most = n[rows][-1]
-        for j in range(i, len(n), BAND):
-            if 100 * most < PERCENT * n[j]:
+    width = np.array([8 * len(x) for x in raw])
+    cuts = np.concatenate(([0], np.flatnonzero(width[1:] != width[:-1]) + 1, [len(n)]))
+    bands = [(i, min(i + BAND, b)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) for i in range(a, b, BAND)]
+    for k, (a, b) in enumerate(bands):
+        rows = slice(a, b)
+        own = stacked(raw[rows], int(width[a]))
+        for c, d in bands[k:]:
+            if 100 * n[b - 1] < PERCENT * n[c]:
                 break
-            columns = slice(j, j + BAND)
-            ok = passing(n[rows, None], bits[rows, None, :], n[None, columns], bits[None, columns, :])
-            if i == j:
+            columns = slice(c, d)
+            other = own if a == c else stacked(raw[columns], int(width[a]))
+            ok = passing(n[rows, None], own[:, None, :], n[None, columns], other[None, :, :])
+            if a == c:
                 ok &= np.triu(np.ones(ok.shape, bool), 1)
             if side is not None:
                 ok &= side[rows, None] != side[None, columns]
-            a, b = np.nonzero(ok)
-            yield a + i, b + j
+            i, j = np.nonzero(ok)
+            yield i + a, j + c
 
 
-def forest(m: int, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
-    """Edges that connect what the pairs connect; wide stars around rows with many pairs."""
+def forest(ids: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+    """Edges that connect what the pairs connect: stars around the rows of least id.
+
+    Lists that share most of their documents so give mostly the same edges.
+    """
     if not pairs:
         return []
     a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-    if len(a) <= 2:
+    if len(a) <= 1:
         return list(zip(a.tolist(), b.tolist(), strict=True))
-    ends = np.concatenate((a, b))
-    other = np.concatenate((b, a))
-    order = np.argsort(ends, kind="stable")
-    other, start = other[order], np.concatenate(([0], np.cumsum(np.bincount(ends, minlength=m))))
-    seen, out = np.zeros(m, bool), []
-    for centre in np.argsort(-np.diff(start), kind="stable").tolist():
+    ends, other = np.concatenate((a, b)), np.concatenate((b, a))
+    order = np.lexsort((ids[other], ends))
+    other, start = other[order], np.concatenate(([0], np.cumsum(np.bincount(ends, minlength=len(ids)))))
+    seen, out = np.zeros(len(ids), bool), []
+    for centre in np.argsort(ids, kind="stable").tolist():
         if seen[centre] or start[centre] == start[centre + 1]:
             continue
         seen[centre] = True
-        queue = [centre]
+        queue = deque([centre])
         while queue:
-            node = queue.pop(0)
+            node = queue.popleft()
             near = other[start[node] : start[node + 1]]
             near = near[~seen[near]]
             seen[near] = True
@@ -203,23 +248,26 @@ def candidates(lists: DataFrame, bits: DataFrame, labels: DataFrame | None) -> D
         for table, edges in groups(batches):
             ids, n, label, part = (table.column(c).to_numpy() for c in ("id", "n", "label", "part"))
             i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
-            matrix = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(ids), -1)
+            raw = table.column("bits").to_pylist()
             sizes = np.diff(edges)
             found_a, found_b = [], []
             two = edges[:-1][sizes == 2]  # most lists: one pair each
             if len(two):
-                ok = passing(n[two], matrix[two], n[two + 1], matrix[two + 1])
-                found_a.append(ids[two[ok]])
-                found_b.append(ids[two[ok] + 1])
+                least = np.array([min(len(raw[k]), len(raw[k + 1])) for k in two.tolist()])
+                for size in np.unique(least).tolist():
+                    at = two[least == size]
+                    ok = passing(n[at], stacked([raw[k] for k in at.tolist()], 8 * size), n[at + 1], stacked([raw[k + 1] for k in at.tolist()], 8 * size))
+                    found_a.append(ids[at[ok]])
+                    found_b.append(ids[at[ok] + 1])
             for k in np.flatnonzero(sizes > 2).tolist():
                 rows_ = slice(edges[k], edges[k + 1])
                 side = part[rows_] == i[edges[k]] if i[edges[k]] != j[edges[k]] else None
-                pairs = list(tile_pairs(n[rows_], matrix[rows_], side))
+                pairs = list(tile_pairs(n[rows_], raw[rows_], side))
                 own = ids[rows_]
                 if across:
                     a, b = (np.concatenate([p[s] for p in pairs] or [np.zeros(0, np.int64)]) for s in (0, 1))
                 else:
-                    edge = forest(len(own), pairs)
+                    edge = forest(own, pairs)
                     a, b = np.array([e[0] for e in edge], np.int64), np.array([e[1] for e in edge], np.int64)
                 if across:
                     apart = label[rows_][a] != label[rows_][b]
