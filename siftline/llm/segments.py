@@ -94,12 +94,11 @@ class CutTable:
 
     def __init__(self, value: Callable[[list[str], list[bool]], Iterable[np.ndarray]], dtype, capacity: int = 1_200_000, marked: bool = False):
         self.value, self.dtype, self.capacity, self.marked = value, np.dtype(dtype), capacity, marked
-        self.bits = max(10, (2 * capacity - 1).bit_length())
         self._clear()
 
     def _clear(self) -> None:
-        size = 1 << self.bits
-        self.slot = np.full(size, -1, np.int32)
+        self.bits = max(10, (2 * self.capacity - 1).bit_length())
+        self.slot = np.full(1 << self.bits, -1, np.int32)
         self.key = np.zeros(1024, np.uint64)
         self.head = np.zeros(1024, np.uint64)
         self.size = np.zeros(1024, np.uint32)
@@ -147,6 +146,10 @@ class CutTable:
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         self._room(len(keys), int(lengths.sum()))
         a, b = self.n, self.n + len(keys)
+        if 2 * b > 1 << self.bits:  # one request may bring more cuts than the capacity
+            self.bits = (2 * b - 1).bit_length()
+            self.slot = np.full(1 << self.bits, -1, np.int32)
+            self._place(np.arange(a, dtype=np.int32))
         self.key[a:b], self.head[a:b], self.size[a:b], self.hit[a:b] = keys, heads, sizes, False
         self.at[a + 1 : b + 1] = self.at[a] + np.cumsum(lengths)
         if len(found):
