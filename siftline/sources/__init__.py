@@ -1 +1 @@
-"""See the modules."""
+"""Readers and writers; every reader adds explicit order columns."""
