@@ -66,7 +66,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(documents, public("byte_bpe_multi_50k.tiktoken"), learn=f"NOT {HELD_OUT.replace('doc_id', 'id')}")
     predicted = langid.predict(documents.select("doc_id", "text"), model)
-    return predicted.selectExpr("doc_id", f"{HELD_OUT} AS held_out", "lang_pred", "score")
+    return predicted.selectExpr("doc_id", f"ifnull({HELD_OUT}, false) AS held_out", "lang_pred", "score")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -82,4 +82,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_ngram_join": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' '))
+                                    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS grams FROM w),
+e AS (SELECT doc_id, unnest(grams) AS g FROM s),
+n AS (SELECT doc_id, len(grams) AS n FROM s),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+r AS (SELECT doc_id AS node, doc_id AS top FROM n UNION SELECT l.y, r.top FROM r JOIN l ON l.x = r.node)
+SELECT n.doc_id, n.n AS n_shingles, min(r.top) AS component_id FROM n JOIN r ON r.node = n.doc_id GROUP BY n.doc_id, n.n""",
+    "op9_warc": """
+WITH s AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+d AS (
+  SELECT page_id, payload_bytes, x, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST('0x' || substr(x, 1 + (i // 8) * 10, 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31 AS INTEGER), 1)), '') AS payload_digest FROM s),
+k AS (SELECT x, payload_bytes, max(page_id) AS keeper FROM d GROUP BY ALL)
+SELECT d.page_id, d.payload_bytes, d.payload_digest, CASE WHEN d.page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN d.page_id <> keeper THEN keeper END AS refers_to
+FROM d JOIN k ON k.x = d.x AND k.payload_bytes = d.payload_bytes""",
+}
