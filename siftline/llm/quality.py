@@ -28,20 +28,26 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, _SPACE), "")
 
 
+def hashes_of(words: str) -> Column:
+    """The hash of every word; longer n-grams hash these."""
+    return F.expr(f"transform({words}, w -> xxhash64(w))")
+
+
 def _repeats(df: DataFrame) -> DataFrame:
-    """Adds n_repeat_words from _words: words in three-word windows that occur twice or more.
+    """Adds n_repeat_words from _hashes: words in three-word windows that occur twice or more.
 
-    Windows are hashed, and sorted as integers of hash bits above position
-    bits; equal neighbours with equal whole hashes repeat.  The union of the
-    windows is summed over their sorted positions.  Each step is a column of
-    its own so that no lambda computes an array again for every element.
+    Windows are hashed.  Where any repeats they are sorted as integers of hash
+    bits above position bits; equal neighbours with equal whole hashes repeat.
+    The union of the windows is summed over their sorted positions.  Each step
+    is a column of its own so that no lambda computes an array again for every
+    element.
     """
     df = df.withColumn(
         "_windows",
-        F.expr("CASE WHEN size(_words) < 3 THEN array() ELSE transform(sequence(0, size(_words) - 3), i -> xxhash64(_words[i], _words[i + 1], _words[i + 2])) END"),
+        F.expr("CASE WHEN size(_hashes) < 3 THEN array() ELSE transform(sequence(0, size(_hashes) - 3), i -> xxhash64(_hashes[i], _hashes[i + 1], _hashes[i + 2])) END"),
     )
-    df = df.withColumn("_mask", F.expr("CAST(pow(2, greatest(1, ceil(log2(size(_words) + 1)))) AS BIGINT) - 1"))
-    df = df.withColumn("_sorted", F.expr("sort_array(transform(_windows, (h, i) -> (h & ~_mask) | i))"))
+    df = df.withColumn("_mask", F.expr("CAST(pow(2, greatest(1, ceil(log2(size(_hashes) + 1)))) AS BIGINT) - 1"))
+    df = df.withColumn("_sorted", F.expr("CASE WHEN size(array_distinct(_windows)) < size(_windows) THEN sort_array(transform(_windows, (h, i) -> (h & ~_mask) | i)) ELSE array() END"))
     df = df.withColumn(
         "_at",
         F.expr(
@@ -60,11 +66,12 @@ def _repeats(df: DataFrame) -> DataFrame:
 def base_rules(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Every row with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
 
-    A null text has no words.  Adds working columns _text and _words, which
-    the caller drops.  Rows are neither dropped nor moved.
+    A null text has no words.  Adds working columns _text, _words and _hashes,
+    which the caller drops.  Rows are neither dropped nor moved.
     """
     df = df.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
     df = df.withColumn("_words", words_of(F.col("_text")))
+    df = df.withColumn("_hashes", hashes_of("_words"))
     df = df.withColumn("_lines", F.expr(r"filter(split(_text, '\n', -1), x -> x rlike '[^\\x20\\x09-\\x0D]')"))
     df = df.withColumn("n_words", F.size("_words").cast("long"))
     df = df.withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
@@ -75,11 +82,11 @@ def base_rules(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn("base_failed", failed).drop("_lines", "_windows", "_mask", "_sorted", "_at")
 
 
-def grams(words: str, buckets: int = BUCKETS) -> Column:
+def grams(hashes: str, buckets: int = BUCKETS) -> Column:
     """The buckets of all single words and all pairs of neighbours, as an array."""
     return F.expr(
-        f"concat(transform({words}, w -> int(pmod(xxhash64(w), {buckets}))), "
-        f"CASE WHEN size({words}) < 2 THEN array() ELSE transform(sequence(0, size({words}) - 2), i -> int(pmod(xxhash64({words}[i], {words}[i + 1]), {buckets}))) END)"
+        f"concat(transform({hashes}, h -> int(pmod(h, {buckets}))), "
+        f"CASE WHEN size({hashes}) < 2 THEN array() ELSE transform(sequence(0, size({hashes}) - 2), i -> int(pmod(xxhash64({hashes}[i], {hashes}[i + 1]), {buckets}))) END)"
     )
 
 
@@ -96,7 +103,8 @@ def log_ratios(df: DataFrame, labels: DataFrame, *, trusted: int = TRUSTED, buck
     marked = rows.join(F.broadcast(chosen), "doc_id", "left")
     counted = (
         marked.select(words_of(F.col("text")).alias("_w"), F.expr("int(ifnull(_good, false))").alias("_good"))
-        .select(F.explode(grams("_w", buckets)).alias("bucket"), "_good")
+        .select(hashes_of("_w").alias("_h"), "_good")
+        .select(F.explode(grams("_h", buckets)).alias("bucket"), "_good")
         .groupBy("bucket")
         .agg(F.count(F.lit(1)).alias("raw"), F.sum("_good").cast("long").alias("good"))
     )
@@ -118,9 +126,9 @@ def log_ratios(df: DataFrame, labels: DataFrame, *, trusted: int = TRUSTED, buck
     return filled.selectExpr(weight).scalar()
 
 
-def score(df: DataFrame, ratios: Column, words: str = "_words", out: str = "llr") -> DataFrame:
+def score(df: DataFrame, ratios: Column, hashes: str = "_hashes", out: str = "llr") -> DataFrame:
     """Adds the mean log ratio of the n-grams, 0 where there is none."""
-    df = df.withColumn("_grams", grams(words)).withColumn("_ratios", ratios)
+    df = df.withColumn("_grams", grams(hashes)).withColumn("_ratios", ratios)
     mean = F.expr("CASE WHEN size(_grams) = 0 THEN 0D ELSE aggregate(_grams, 0D, (s, b) -> s + _ratios[b]) / size(_grams) END")
     return df.withColumn(out, mean).drop("_grams", "_ratios")
 
@@ -135,4 +143,8 @@ def judge(df: DataFrame, labels: DataFrame, *, corpus: DataFrame | None = None,
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
     ratios = log_ratios(corpus if corpus is not None else df, labels, id_col=id_col, text_col=text_col)
     out = score(base_rules(df.drop(*names), text_col), ratios)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("_text", "_words")
+    # A filter on kept must not be pushed below: the steps would be written into it,
+    # and arrays computed anew for each element.  The id is never negative; an
+    # expression that isn't deterministic is left where it is.
+    stays = F.monotonically_increasing_id() >= 0
+    return out.withColumn("kept", stays & ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("_text", "_words", "_hashes")

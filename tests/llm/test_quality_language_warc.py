@@ -31,10 +31,13 @@ def signed(x):
 
 
 def h(*words):
-    """Spark's xxhash64 of strings: each is hashed with the last one's hash as seed."""
+    """The hash of a word, or of the hashes of several: each is hashed with the one before as seed."""
+    hashes = [xxhash.xxh64_intdigest(w.encode(), seed=42) for w in words]
+    if len(words) == 1:
+        return signed(hashes[0])
     seed = 42
-    for w in words:
-        seed = xxhash.xxh64_intdigest(w.encode(), seed=seed)
+    for x in hashes:
+        seed = xxhash.xxh64_intdigest(x.to_bytes(8, "little"), seed=seed)
     return signed(seed)
 
 
