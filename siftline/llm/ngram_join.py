@@ -135,18 +135,18 @@ def lists_of(posted: DataFrame) -> DataFrame:
     """(shingle, id, n, m): documents that have a partner of fitting size under a shingle.
 
     m is the number of documents in the list; of lists with the same documents
-    one stays.  All is found in the one shuffle by shingle.
+    one stays.  All is found in the one shuffle by shingle, and written once.
     """
     by = Window.partitionBy("shingle")
     near = posted.withColumns({"_less": F.lag("n").over(by.orderBy("n", "id")), "_more": F.lead("n").over(by.orderBy("n", "id"))})
     near = near.filter(f"100 * _less >= {PERCENT} * n OR 100 * n >= {PERCENT} * _more").select("shingle", "id", "n")
     # two independent hashes and the size identify the documents of a list
-    marked = near.withColumns({
+    marked = written(near.withColumns({
         "m": F.count(F.lit(1)).over(by),
         "_s": F.sum(F.expr("xxhash64(id) >> 20")).over(by),
         "_t": F.sum(F.expr("xxhash64(id, 1) >> 20")).over(by),
         "_first": F.min("id").over(by),
-    })
+    }), "marked")
     one = marked.filter("id = _first").groupBy("_s", "_t", "m").agg(F.min("shingle").alias("shingle")).select("shingle")
     return marked.select("shingle", "id", "n", "m").join(one, "shingle", "left_semi")
 
