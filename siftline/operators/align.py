@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.text import plain, shingles, tokens
@@ -19,6 +19,27 @@ def overlap(fragments: DataFrame, units: DataFrame, key: list[str]) -> DataFrame
     return f.join(u, [*key, "g"]).groupBy(*key, "frag_id", "unit_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def ranking(n: str, common: str, of: Column) -> Column:
+    """The units that share shingles with a fragment, by descending overlap, ties by position; ``of`` is the unit's number of shingles."""
+    return F.array_sort(F.collect_list(F.struct((-F.col(n)).alias("k"), F.col("unit_id").alias("u"), F.col(common).alias("common"), (F.col(n) / of).alias("share")))).alias("ranked")
+
+
+def choose(strong: float, cover: float) -> Column:
+    """Of ``ranked`` the strong units, and those of the greedy cover where it reaches its share of ``size``."""
+    start = F.struct(F.array().cast("array<string>").alias("got"), F.array().cast("array<int>").alias("ids"))
+
+    def step(s, x):
+        open_ = F.size(s["got"]) < F.lit(cover) * F.col("size")
+        brings = open_ & (F.size(F.array_except(x["common"], s["got"])) > 0)
+        return F.struct(F.when(brings, F.array_union(s["got"], x["common"])).otherwise(s["got"]).alias("got"), F.when(brings, F.concat(s["ids"], F.array(x["u"].cast("int")))).otherwise(s["ids"]).alias("ids"))
+
+    def finish(s):
+        return F.when(F.size(s["got"]) >= F.lit(cover) * F.col("size"), s["ids"]).otherwise(F.array().cast("array<int>"))
+
+    strong_ids = F.transform(F.filter("ranked", lambda x: x["share"] >= strong), lambda x: x["u"].cast("int"))
+    return F.array_union(strong_ids, F.aggregate("ranked", start, step, finish))
+
+
 def align(fragments: DataFrame, units: DataFrame, key: list[str], strong: float = 0.5, cover: float = 0.5, least: int = 6, prefix: int = 80) -> DataFrame:
     """(key, unit_ids, n_fragments, n_matched): the units that the fragments of each key come from.
 
@@ -34,21 +55,8 @@ def align(fragments: DataFrame, units: DataFrame, key: list[str], strong: float
     hits = overlap(words.select(*key, "frag_id", "fragment"), units, key)
     rows = hits.join(words.select(*key, "frag_id", "g"), [*key, "frag_id"]).join(own.select(*key, "unit_id", "ug"), [*key, "unit_id"])
     rows = rows.withColumn("common", F.array_intersect("g", "ug"))
-    grouped = rows.groupBy(*key, "frag_id").agg(
-        F.max(F.size("g")).alias("size"),
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col("unit_id").alias("u"), "common", (F.col("n") / F.size("ug")).alias("share")))).alias("ranked"),
-    )
-    start = F.struct(F.array().cast("array<string>").alias("got"), F.array().cast("array<int>").alias("ids"))
-
-    def step(s, x):
-        open_ = F.size(s["got"]) < F.lit(cover) * F.col("size")
-        brings = open_ & (F.size(F.array_except(x["common"], s["got"])) > 0)
-        return F.struct(F.when(brings, F.array_union(s["got"], x["common"])).otherwise(s["got"]).alias("got"), F.when(brings, F.concat(s["ids"], F.array(x["u"].cast("int")))).otherwise(s["ids"]).alias("ids"))
-
-    greedy = grouped.withColumn("greedy", F.aggregate("ranked", start, step))
-    strong_ids = F.transform(F.filter("ranked", lambda x: x["share"] >= strong), lambda x: x["u"].cast("int"))
-    reached = F.size("greedy.got") >= F.lit(cover) * F.col("size")
-    chosen = greedy.select(*key, "frag_id", F.array_union(strong_ids, F.when(reached, F.col("greedy.ids")).otherwise(F.array().cast("array<int>"))).alias("ids"))
+    grouped = rows.groupBy(*key, "frag_id").agg(F.max(F.size("g")).alias("size"), ranking("n", "common", F.size("ug")))
+    chosen = grouped.select(*key, "frag_id", choose(strong, cover).alias("ids"))
     rest = words.join(hits.select(*key, "frag_id").distinct(), [*key, "frag_id"], "left_anti")
     held = rest.join(units, key).filter(F.contains(plain(F.col("unit")), F.substring(plain(F.col("fragment")), 1, prefix)))
     fallback = held.groupBy(*key, "frag_id").agg(F.array(F.min("unit_id").cast("int")).alias("ids"))
@@ -58,3 +66,27 @@ def align(fragments: DataFrame, units: DataFrame, key: list[str], strong: float
     return out.select(*key, F.coalesce("unit_ids", F.array().cast("array<int>")).alias("unit_ids"), "n_fragments", F.coalesce("n_matched", F.lit(0)).alias("n_matched"))
 
 
+def align_across(fragments: DataFrame, units: DataFrame, item: str, doc: str, strong: float = 0.5, cover: float = 0.5, least: int = 6, prefix: int = 80) -> DataFrame:
+    """(item, doc, unit_ids, n_fragments, n_matched): ``align`` of each item's fragments to each document's units, for the pairs in which a fragment matches.
+
+    Only pairs that share a shingle are formed, and the units' shingles stay
+    where they are: those of the fragments are broadcast.  A start that holds
+    five whole tokens inside shares a shingle with each unit that contains it,
+    so only fragments with fewer are searched for by their start.
+    """
+    words = fragments.withColumn("t", tokens(F.col("fragment"))).filter(F.size("t") >= least).select(item, "frag_id", shingles(F.col("t")).alias("g"), F.substring(plain(F.col("fragment")), 1, prefix).alias("head"))
+    sought = words.select(item, "frag_id", F.size("g").alias("size"), "g").select(item, "frag_id", "size", F.explode_outer("g").alias("g"))
+    # one column at a time: nested, the tokens would be found again for each shingle, and the array go with each of its elements;
+    # a plain explode would bring the nested form back in a filter for size
+    own = units.select(doc, "unit_id", tokens(F.col("unit")).alias("t")).select(doc, "unit_id", shingles(F.col("t")).alias("ug"))
+    own = own.select(doc, "unit_id", F.size("ug").alias("of"), "ug").select(doc, "unit_id", "of", F.explode_outer("ug").alias("g"))
+    hits = own.join(F.broadcast(sought), "g").groupBy(item, doc, "frag_id", "unit_id").agg(F.count(F.lit(1)).alias("n"), F.collect_list("g").alias("common"), F.max("of").alias("of"), F.max("size").alias("size"))
+    inside = F.size(F.regexp_extract_all("head", F.lit("(?<=[^a-z0-9])([a-z0-9]+)(?=[^a-z0-9])"), F.lit(1)))
+    rest = F.broadcast(words.filter(inside < 5).select(item, "frag_id", "head"))
+    held = units.join(rest, F.contains(plain(F.col("unit")), F.col("head"))).select(item, doc, "frag_id", "unit_id", F.lit(0).cast("long").alias("n"), F.array().cast("array<string>").alias("common"), F.lit(1).alias("of"), F.lit(0).alias("size"))
+    grouped = hits.unionByName(held).groupBy(item, doc, "frag_id").agg(F.max("size").alias("size"), F.min("unit_id").alias("first"), ranking("n", "common", F.col("of")))
+    ids = F.when(F.col("size") == 0, F.array(F.col("first").cast("int"))).otherwise(choose(strong, cover))
+    found = grouped.select(item, doc, ids.alias("ids")).filter(F.size("ids") > 0)
+    found = found.groupBy(item, doc).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("unit_ids"), F.count(F.lit(1)).alias("n_matched"))
+    counts = fragments.groupBy(item).agg(F.count(F.lit(1)).alias("n_fragments"))
+    return found.join(F.broadcast(counts), item).select(item, doc, "unit_ids", "n_fragments", "n_matched")

@@ -391,10 +391,9 @@ def shingle_overlap(spark, sf):
 
 @query()
 def align_fragments(spark, sf):
-    """Three sentences of each document, joined by [...], aligned back to its units."""
-    rows = units(spark, sf).filter(F.size("units") >= 5)
-    quoted = rows.select("doc_id", F.posexplode(text.fragments(F.concat_ws(" [...] ", F.get("units", F.lit(0)), F.get("units", F.lit(2)), F.get("units", F.lit(4))))).alias("frag_id", "fragment"))
-    return align.align(quoted, rows.select("doc_id", F.posexplode("units").alias("unit_id", "unit")), ["doc_id"])
+    """The fragments of each benchmark text aligned to all units of every document; pairs without a match have no row."""
+    quoted = table(spark, sf, "benchmark").select("item_id", F.posexplode(text.fragments(F.col("text"))).alias("frag_id", "fragment"))
+    return align.align_across(quoted, exploded(spark, sf), "item_id", "doc_id")
 
 
 @query(f"""WITH {DOC_UNITS}, j AS (SELECT doc_id, array_to_string(units, ' [...] ') AS h FROM du) SELECT doc_id, CAST(len(list_filter(list_transform(regexp_split_to_array(h, '\\[\\s*\\.\\.\\.\\s*\\]'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) >= 8)) AS INTEGER) AS n_fragments,
