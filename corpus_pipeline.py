@@ -35,8 +35,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the least id stays.
 
-    Rows that repeat an id are one document; rows without id all stay.
+    Rows that repeat an id with different texts are documents of their own, in
+    the order of id and a hash of the text; rows without id all stay.
     """
+    if ngram_join.ids_repeat(docs.select(F.col("doc_id").alias("id"), "text")):
+        keyed = docs.filter("doc_id IS NOT NULL").withColumn("__key", ngram_join.node("doc_id", "text"))
+        found = ngram_join.linked(keyed.select(F.col("__key").alias("id"), "text")).select(F.col("doc_id").alias("__key"), "component_id")
+        placed = keyed.select("__key", "doc_id").join(found.distinct(), "__key")
+        stay = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("x")).select("x.__key")
+        return keyed.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns).union(docs.filter("doc_id IS NULL"))
     found = ngram_join.ngram_components(docs.select("doc_id", "text"))
     stay = found.filter("doc_id = component_id").select("doc_id").distinct()
     return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.filter("doc_id IS NULL")).select(*docs.columns)

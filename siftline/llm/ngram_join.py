@@ -26,7 +26,7 @@ from collections import deque
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.llm.arrow import map_arrow, text_slices, utf8_buffer
@@ -313,16 +313,19 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(rows, run, "a long, b long")
 
 
-def ngram_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``df``.
+def ids_repeat(rows: DataFrame) -> bool:
+    """Whether an id of ``rows`` (id, text) has different texts."""
+    texts = rows.filter("id IS NOT NULL").groupBy("id").agg(F.min(F.xxhash64("text")).alias("x"), F.max(F.xxhash64("text")).alias("y"))
+    return not texts.filter("x != y").isEmpty()
 
-    Two documents link when 100 * intersection >= PERCENT * union of their
-    sets of WIDTH-word shingles; component_id is the least id reachable.  Null
-    and empty texts have no shingles and stand alone.  A row whose id is null
-    stands alone with a null component and no count.  Rows that repeat an id
-    share a component.  Other columns are not read.
-    """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+
+def node(id_col: str, text_col: str) -> Column:
+    """The key of a distinct (id, text); null without an id."""
+    return F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("long"), text_col))
+
+
+def linked(rows: DataFrame, same: DataFrame | None = None) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of the rows (id, text) with an id, each id with one text; ``same``: further links (a, b)."""
     profiled = written(profile(rows, "id", "text"), "profile")
     documents = profiled.filter("bucket IS NULL")
     heavy = profiled.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # bounded by the sketch
@@ -338,12 +341,36 @@ def ngram_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     member = written(documents.filter("n > 0").join(classes, ["k1", "k2", "n"]).select("id", "class"), "members")
     known = member.select(F.col("id").alias("a"), F.col("class").alias("b"))
     first = written(verified(candidates(lists, bits, None), texts), "links")
+    known = known if same is None else known.union(same)
     labels = written(components(first.union(known)).selectExpr("node AS id", "component AS label"), "labels")
     second = written(verified(candidates(lists, bits, labels), texts), "links")
     joined = second.join(labels.selectExpr("id AS a", "label AS la"), "a", "left").join(labels.selectExpr("id AS b", "label AS lb"), "b", "left")
     joined = joined.selectExpr("coalesce(la, a) AS a", "coalesce(lb, b) AS b")
     over = components(joined).selectExpr("node AS label", "component AS top")
     final = labels.join(over, "label", "left").selectExpr("id", "coalesce(top, label) AS top")
+    return documents.join(final, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("top", "id").alias("component_id"))
+
+
+def ngram_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``df``.
+
+    Two documents link when 100 * intersection >= PERCENT * union of their
+    sets of WIDTH-word shingles; component_id is the least id reachable.  Null
+    and empty texts have no shingles and stand alone.  A row whose id is null
+    stands alone with a null component and no count.  Rows that repeat an id
+    share a component, and each of their texts links.  Other columns are not
+    read.
+    """
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if ids_repeat(rows):
+        # a node for each (id, text); nodes of one id are linked, and components go back to the least id
+        nodes = written(rows.filter("id IS NOT NULL").select(node("id", "text").alias("key"), "id"), "nodes")
+        same = nodes.join(nodes.groupBy("id").agg(F.min("key").alias("b")), "id").select(F.col("key").alias("a"), "b")
+        found = linked(rows.select(node("id", "text").alias("id"), "text"), same).distinct()
+        placed = written(nodes.join(found, F.col("key") == F.col("doc_id")).select("id", "n_shingles", "component_id"), "placed")
+        least = placed.groupBy("component_id").agg(F.min("id").alias("least"))
+        whole = placed.join(least, "component_id").select(F.col("id").alias("doc_id"), "n_shingles", F.col("least").alias("component_id"))
+    else:
+        whole = linked(rows)
     alone = df.filter(F.col(id_col).isNull()).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "CAST(NULL AS BIGINT) AS n_shingles", "CAST(NULL AS BIGINT) AS component_id")
-    whole = documents.join(final, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("top", "id").alias("component_id"))
     return whole.union(alone)
