@@ -64,12 +64,20 @@ def recall_at_relevant(df: DataFrame, group: str, score: str, label: str, tie: s
     return ranked.filter("k > 0").groupBy(group).agg((F.sum(F.when(F.col("rank") <= F.col("k"), F.col(label)).otherwise(0)) / F.max("k").cast("double")).alias("recall"))
 
 
-def sweep(df: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Micro precision, recall, F1 and keep rate over units for every threshold pair; thresholds are a handful of rows."""
-    joined = df.join(F.broadcast(thresholds.limit(1000)), F.lit(True))
-    keep = (F.col("n_tokens") > 0) & (F.col("score") >= F.col("sentence_threshold"))
+def sweep(units: DataFrame, scored: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
+    """Micro precision, recall, F1 and keep rate over units for every pair (token_threshold, sentence_threshold).
+
+    units: keys, label; scored: keys and the probability p of each token.  A
+    unit is kept where the share of its tokens at the token threshold or above
+    reaches the sentence threshold; one without tokens never is.
+    """
+    pair = ["token_threshold", "sentence_threshold"]
+    by = scored.groupBy(*keys).agg(F.collect_list("p").alias("ps"))
+    joined = units.join(by, keys, "left").select("label", "ps").join(F.broadcast(thresholds.select(*pair).distinct()), F.lit(True))
+    above = F.size(F.filter("ps", lambda p: p >= F.col("token_threshold"))) / F.size("ps").cast("double")
+    keep = F.coalesce(above >= F.col("sentence_threshold"), F.lit(False))
     y = F.col("label") == 1
-    by = joined.groupBy("sentence_threshold").agg(F.count_if(keep & y).alias("tp"), F.count_if(keep & ~y).alias("fp"), F.count_if(~keep & y).alias("fn"), F.count(F.lit(1)).alias("n"))
+    by = joined.groupBy(*pair).agg(F.count_if(keep & y).alias("tp"), F.count_if(keep & ~y).alias("fp"), F.count_if(~keep & y).alias("fn"), F.count(F.lit(1)).alias("n"))
     p, r = F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1)).cast("double"), F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1)).cast("double")
     by = by.withColumns({"precision": p, "recall": r, "keep_rate": (F.col("tp") + F.col("fp")) / F.col("n").cast("double")})
     return by.withColumn("f1", 2 * F.col("precision") * F.col("recall") / F.greatest(F.col("precision") + F.col("recall"), F.lit(1e-9)))

@@ -185,11 +185,15 @@ POOLED = f"""{EXPLODED}, tw AS (SELECT doc_id, unit_id, i, {fraction_sql("doc_id
 po AS (SELECT e.doc_id, e.unit_id, round(coalesce(avg(p), 0), 9) AS mean, round(coalesce(avg(CASE WHEN p >= 0.5 THEN 1.0::DOUBLE ELSE 0 END), 0), 9) AS score, count(p) AS n_tokens FROM eu e LEFT JOIN tw ON tw.doc_id = e.doc_id AND tw.unit_id = e.unit_id GROUP BY ALL)"""
 
 
-def pooled(spark, sf) -> DataFrame:
+def token_scores(spark, sf) -> DataFrame:
+    """Up to six tokens of every unit with a probability: doc_id, unit_id, p."""
     rows = exploded(spark, sf)
     scored = rows.select("doc_id", "unit_id", F.explode(F.expr("CASE WHEN length(unit) % 7 = 0 THEN array() ELSE sequence(0, length(unit) % 7 - 1) END")).alias("i"))
-    scored = scored.select("doc_id", "unit_id", text.fraction(F.concat_ws("-", "doc_id", "unit_id", "i")).alias("p"))
-    out = scoring.pool(rows.select("doc_id", "unit_id"), scored, ["doc_id", "unit_id"])
+    return scored.select("doc_id", "unit_id", text.fraction(F.concat_ws("-", "doc_id", "unit_id", "i")).alias("p"))
+
+
+def pooled(spark, sf) -> DataFrame:
+    out = scoring.pool(exploded(spark, sf).select("doc_id", "unit_id"), token_scores(spark, sf), ["doc_id", "unit_id"])
     return out.withColumns({"mean": F.round("mean", 9), "score": F.round("score", 9)})
 
 
@@ -340,8 +344,9 @@ def label_cost(spark, sf):
 c AS (SELECT sentence_threshold, count(*) FILTER (n_tokens > 0 AND score >= sentence_threshold AND label = 1) AS tp, count(*) FILTER (n_tokens > 0 AND score >= sentence_threshold AND label = 0) AS fp, count(*) FILTER (NOT (n_tokens > 0 AND score >= sentence_threshold) AND label = 1) AS fn, count(*) AS n FROM y, t GROUP BY 1)
 SELECT sentence_threshold, tp, fp, fn, round(tp / greatest(tp + fp, 1)::DOUBLE, 9) AS precision, round(tp / greatest(tp + fn, 1)::DOUBLE, 9) AS recall, round((tp + fp) / n::DOUBLE, 9) AS keep_rate FROM c""")
 def threshold_sweep(spark, sf):
-    rows = pooled(spark, sf).withColumn("label", (text.fraction(F.concat(F.lit("y"), F.col("doc_id"), F.lit("-"), F.col("unit_id"))) < 0.3).cast("int"))
-    out = metrics.sweep(rows, spark.createDataFrame([(0.3,), (0.5,), (0.7,)], "sentence_threshold double"))
+    rows = exploded(spark, sf).select("doc_id", "unit_id", (text.fraction(F.concat(F.lit("y"), F.col("doc_id"), F.lit("-"), F.col("unit_id"))) < 0.3).cast("int").alias("label"))
+    pairs_ = spark.createDataFrame([(0.5, 0.3), (0.5, 0.5), (0.5, 0.7)], "token_threshold double, sentence_threshold double")
+    out = metrics.sweep(rows, token_scores(spark, sf), pairs_, ["doc_id", "unit_id"])
     return out.select("sentence_threshold", "tp", "fp", "fn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "keep_rate")))
 
 
