@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import ids, text
-from siftline.operators import align, assembly, metrics, scoring, windows
+from siftline.operators import align, assembly, labeling, metrics, scoring, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -129,6 +129,15 @@ def split_oversized_words(spark, sf):
     return parts.select("doc_id", F.size("parts").alias("n_parts"), F.sha1(F.array_join("parts", "\n")).alias("digest"))
 
 
+@query()
+def split_block_lines(spark, sf):
+    """Each document as one block, cut at line ends where it is long."""
+    from siftline.functions.segment import block_lines
+
+    parts = table(spark, sf, "documents").select("doc_id", block_lines(F.col("text")).alias("parts"))
+    return parts.select("doc_id", F.size("parts").alias("n_parts"), F.sha1(F.array_join("parts", "\0")).alias("digest"))
+
+
 @query(f"WITH {DOC_UNITS} SELECT doc_id, CASE WHEN len(units) > 30 THEN 'skipped:long(' || len(units) || ')' ELSE 'ok' END AS status, CAST(CASE WHEN len(units) > 30 THEN 0 ELSE len(units) END AS INTEGER) AS n_units FROM du")
 def long_doc_gate(spark, sf):
     n = F.size("units")
@@ -423,6 +432,17 @@ def build_prompt(spark, sf):
     return rows.select("conv_id", "turn", F.sha1(ids.prompt(F.col("query"), F.col("units"))).alias("prompt"))
 
 
+@query()
+def parse_label_json(spark, sf):
+    """Answers of every shape around the number in props: objects, bare lists, other JSON, cut JSON; some ended by length."""
+    k = F.coalesce(F.get_json_object("props", "$.k"), F.lit("0"))
+    shapes = (F.concat(F.lit('{"relevant_unit_ids": ['), k, F.lit(", 3, 1]}")), F.concat(F.lit("["), k, F.lit(", "), k, F.lit("]")), F.lit("[]"), F.concat(F.lit('"'), k, F.lit('"')), F.concat(F.lit("["), k))
+    raw = F.element_at(F.array(*shapes), (F.col("event_id") % len(shapes) + 1).cast("int"))
+    rows = table(spark, sf, "events").select("event_id", raw.alias("raw"), F.when(F.col("event_id") % 7 == 0, "length").otherwise("stop").alias("finish"))
+    answer = rows.select("event_id", labeling.parse_answer(F.col("raw"), F.lit(50), F.col("finish")).alias("a"))
+    return answer.select("event_id", F.array_join(F.transform("a.ids", lambda i: i.cast("string")), ",").alias("ids"), "a.status")
+
+
 @query("""WITH t(topic) AS (VALUES ('science'), ('law'), ('travel')), i(intent) AS (VALUES ('lookup'), ('howto'), ('compare')), s AS (SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY 1) SELECT source, topic, intent FROM s, t, i WHERE NOT (intent = 'compare' AND doc_id % 2 = 0)""")
 def intent_grid(spark, sf):
     rows = table(spark, sf, "documents").groupBy("source").agg(F.min("doc_id").alias("doc_id"))
