@@ -16,46 +16,44 @@ from collections.abc import Callable, Iterable
 import numpy as np
 
 _M = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2**64
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+#: A random number for every byte at every place of a block of 64 bytes.
+_BLOCK = 64
+_PLACED = np.random.default_rng(20240229).integers(0, 1 << 64, _BLOCK * 256, np.uint64)
 #: Bytes after which a space starts a cut: visible ASCII ...
 _VISIBLE = np.zeros(256, bool)
 _VISIBLE[0x21:0x7F] = True
 #: ... and the second byte of a two-byte character from U+00C0 (none is white space).
 _LEAD = np.zeros(256, bool)
 _LEAD[0xC3:0xE0] = True
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans; equal spans have equal hashes wherever they are.
 
-    Spans must not be empty and must ascend without overlap.
+    Spans must not be empty and must ascend without overlap.  Bytes are
+    tabulated by their place in a block and the blocks of a span are mixed
+    before they are added, so no arrangement of bytes cancels out.
     """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    power, inverse = powers(len(data))
-    terms = _BYTE[data]
-    terms *= power
-    edges = np.empty(2 * len(starts), np.int64)
-    edges[0::2], edges[1::2] = starts, stops
-    if edges[-1] == len(data):
-        sums = np.add.reduceat(terms, edges[:-1])[0::2]
+    per = (stops - starts + _BLOCK - 1) // _BLOCK
+    if (per == 1).all():
+        first, number, begins, ends = None, np.uint64(1), starts, stops
     else:
-        sums = np.add.reduceat(terms, edges)[0::2]
-    sums *= inverse[starts]
+        first = np.cumsum(per) - per
+        number = np.arange(int(per.sum())) - np.repeat(first, per)
+        begins = np.repeat(starts, per) + number * _BLOCK
+        ends = np.minimum(begins + _BLOCK, np.repeat(stops, per))
+        number = number.astype(np.uint64) + np.uint64(1)
+    low, high = int(starts[0]), int(stops[-1])
+    place = np.arange(low, high, dtype=np.int32) - np.repeat(begins.astype(np.int32), np.diff(np.append(begins, high)))
+    # bytes between spans have no place; what they are given is not summed
+    terms = _PLACED[(place & (_BLOCK - 1)) << 8 | data[low:high]]
+    edges = np.empty(2 * len(begins), np.int64)
+    edges[0::2], edges[1::2] = begins - low, ends - low
+    sums = mix(np.add.reduceat(terms, edges[:-1])[0::2] + number * _M)
+    if first is not None:
+        sums = np.add.reduceat(sums, first)
     return mix(sums + (stops - starts).astype(np.uint64))
 
 
@@ -87,9 +85,10 @@ class CutTable:
     """Values of cuts by open addressing, emptied of what isn't used when full.
 
     ``value(list of strings, list of booleans)`` gives an array for each cut;
-    the booleans tell which are the first of their text.  A cut is recognised
-    by a 64-bit hash, its first eight bytes and its length.  Results never
-    depend on what is remembered.
+    the booleans tell which are the first of their text.  A cut is looked up
+    by a 64-bit hash, its first eight bytes and its length, and all its bytes
+    are compared with those of the entry.  One whose hash belongs to another
+    cut is asked for by itself, so results never depend on what is remembered.
     """
 
     def __init__(self, value: Callable[[list[str], list[bool]], Iterable[np.ndarray]], dtype, capacity: int = 1_200_000, marked: bool = False):
@@ -105,6 +104,8 @@ class CutTable:
         self.at = np.zeros(1025, np.int64)
         self.hit = np.zeros(1024, bool)
         self.pool = np.zeros(4096, self.dtype)
+        self.bytes_at = np.zeros(1025, np.int64)
+        self.bytes = np.zeros(8192, np.uint8)
         self.n = 0
 
     def _find(self, keys: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -134,17 +135,20 @@ class CutTable:
             left = left[lost]
             slots[left] = (slots[left] + 1) & mask
 
-    def _room(self, more: int, values: int) -> None:
-        for name, need in (("key", self.n + more), ("head", self.n + more), ("size", self.n + more), ("hit", self.n + more), ("at", self.n + more + 1), ("pool", int(self.at[self.n]) + values)):
+    def _room(self, more: int, values: int, raw: int) -> None:
+        n = self.n + more
+        needs = {"key": n, "head": n, "size": n, "hit": n, "at": n + 1, "bytes_at": n + 1, "pool": int(self.at[self.n]) + values, "bytes": int(self.bytes_at[self.n]) + raw + 8}
+        for name, need in needs.items():
             old = getattr(self, name)
             if len(old) < need:
                 new = np.zeros(max(need, len(old) * 3 // 2), old.dtype)
                 new[: len(old)] = old
                 setattr(self, name, new)
 
-    def _add(self, keys, heads, sizes, found: list[np.ndarray]) -> None:
+    def _add(self, keys, heads, sizes, raw: bytes, found: list[np.ndarray], *, place: bool = True) -> None:
+        """New entries; ``raw`` holds their bytes one after another."""
         lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self._room(len(keys), int(lengths.sum()))
+        self._room(len(keys), int(lengths.sum()), len(raw))
         a, b = self.n, self.n + len(keys)
         if 2 * b > 1 << self.bits:  # one request may bring more cuts than the capacity
             self.bits = (2 * b - 1).bit_length()
@@ -152,10 +156,13 @@ class CutTable:
             self._place(np.arange(a, dtype=np.int32))
         self.key[a:b], self.head[a:b], self.size[a:b], self.hit[a:b] = keys, heads, sizes, False
         self.at[a + 1 : b + 1] = self.at[a] + np.cumsum(lengths)
+        self.bytes_at[a + 1 : b + 1] = self.bytes_at[a] + np.cumsum(sizes, dtype=np.int64)
+        self.bytes[self.bytes_at[a] : self.bytes_at[b]] = np.frombuffer(raw, np.uint8)
         if len(found):
             self.pool[self.at[a] : self.at[b]] = np.concatenate(found)
         self.n = b
-        self._place(np.arange(a, b, dtype=np.int32))
+        if place:
+            self._place(np.arange(a, b, dtype=np.int32))
 
     def _evict(self) -> None:
         keep = np.flatnonzero(self.hit[: self.n])
@@ -163,8 +170,22 @@ class CutTable:
             keep = keep[:0]
         key, head, size = self.key[keep], self.head[keep], self.size[keep]
         found = [self.pool[a:b].copy() for a, b in zip(self.at[keep].tolist(), self.at[keep + 1].tolist(), strict=True)]
+        raw = b"".join(self.bytes[a:b].tobytes() for a, b in zip(self.bytes_at[keep].tolist(), self.bytes_at[keep + 1].tolist(), strict=True))
         self._clear()
-        self._add(key, head, size, found)
+        self._add(key, head, size, raw, found)
+
+    def _unlike(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, entries: np.ndarray) -> np.ndarray:
+        """Indices of the cuts that aren't their entry byte for byte (or have none); heads and lengths agree."""
+        long_ = np.flatnonzero((sizes > 8) & (entries >= 0))
+        size, per = sizes[long_].astype(np.int64), (sizes[long_].astype(np.int64) - 1) // 8
+        number = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
+        # eight bytes at a time, the last eight to the end of the cut
+        step = np.minimum(8 * (number + 1), np.repeat(size - 8, per))
+        held = np.ndarray((len(self.bytes) - 7,), "<u8", self.bytes, strides=(1,))
+        differ = words[np.repeat(starts[long_], per) + step] != held[np.repeat(self.bytes_at[entries[long_]], per) + step]
+        bad = np.zeros(len(starts), bool)
+        bad[np.repeat(long_, per)[differ]] = True
+        return np.flatnonzero(bad | (entries < 0))
 
     def lookup(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Entries of all cuts; and for each document its first cut's index and the one past its last."""
@@ -173,33 +194,41 @@ class CutTable:
         keys = span_hashes(data, starts, stops)
         sizes = (stops - starts).astype(np.uint32)
         padded = np.concatenate((data, np.zeros(8, np.uint8)))
-        heads = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))[starts]
+        words = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+        heads = words[starts]
         short = np.minimum(sizes, 8).astype(np.uint64)
         heads = np.where(short < 8, heads & ((np.uint64(1) << (short * np.uint64(8))) - np.uint64(1)), heads)
         is_first = np.zeros(len(starts), bool)
         is_first[firsts] = True
         if self.marked:
             keys = np.where(is_first, keys ^ _M, keys)
+
+        def ask(which: np.ndarray, place: bool) -> None:
+            raw = [data[a:b].tobytes() for a, b in zip(starts[which].tolist(), stops[which].tolist(), strict=True)]
+            found = [np.asarray(v, self.dtype) for v in self.value([r.decode() for r in raw], is_first[which].tolist())]
+            self._add(keys[which], heads[which], sizes[which], b"".join(raw), found, place=place)
+
         entries = self._find(keys, heads, sizes)
         missing = np.flatnonzero(entries < 0)
         if len(missing):
             _, one = np.unique(keys[missing], return_index=True)
-            ask = missing[one]
-            if self.n + len(ask) > self.capacity:
+            if self.n + len(one) > self.capacity:
                 self._evict()
                 entries = self._find(keys, heads, sizes)
                 missing = np.flatnonzero(entries < 0)
                 _, one = np.unique(keys[missing], return_index=True)
-                ask = missing[one]
-            raw = data.tobytes()
-            cuts = [raw[a:b].decode() for a, b in zip(starts[ask].tolist(), stops[ask].tolist(), strict=True)]
-            self._add(keys[ask], heads[ask], sizes[ask], [np.asarray(v, self.dtype) for v in self.value(cuts, is_first[ask].tolist())])
             known = np.ones(len(entries), bool)
             known[missing] = False
             self.hit[entries[known]] = True
+            ask(missing[one], True)
             entries[missing] = self._find(keys[missing], heads[missing], sizes[missing])
         else:
             self.hit[entries] = True
+        unlike = self._unlike(words, starts, sizes, entries)
+        if len(unlike):  # their hash is another cut's; such an entry is never found again
+            at = self.n
+            ask(unlike, False)
+            entries[unlike] = np.arange(at, self.n)
         left = np.searchsorted(starts, offsets[:-1], "left")
         right = np.searchsorted(starts, offsets[1:], "left")
         return entries, left, right

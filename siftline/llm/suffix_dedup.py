@@ -23,15 +23,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm import segments
 from siftline.llm.arrow import map_arrow, slices, utf8_buffer
-from siftline.llm.segments import mix, powers
+from siftline.llm.segments import mix
 from siftline.llm.suffix_sort import repeated
 
 LENGTH, GRAM = 200, 64
 #: A document is looked at in stretches of so many windows; about so many bytes of fragments are ordered at a time.
 STRETCH, SORTED = 4 << 20, 4 << 20
 _INDEX = 24
+# Grams only choose anchors and deal fragments out: a hash that two of them share costs time, never a result.
+_BASE = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2**64
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2**64."""
+    if len(_powers[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for k, base in enumerate((_BASE, _INVERSE)):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers[0][:n], _powers[1][:n]
+
+
+def overlapping_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans of at least eight bytes that may overlap.
+
+    Modulo 2**64 a polynomial cancels out on texts of a regular build, such as
+    the Thue-Morse word, so spans are told apart by their eight-byte words,
+    each mixed with its place before it is added.
+    """
+    size = stops - starts
+    per = -(-size // 8)
+    out = np.empty(len(starts), np.uint64)
+    words = np.ndarray((max(0, len(data) - 7),), "<u8", np.ascontiguousarray(data), strides=(1,))
+    for a, b in slices(per.tolist(), 1 << 20):
+        number = np.arange(int(per[a:b].sum())) - np.repeat(np.cumsum(per[a:b]) - per[a:b], per[a:b])
+        # the last word ends with the span
+        step = np.minimum(8 * number, np.repeat(size[a:b] - 8, per[a:b]))
+        terms = mix(words[np.repeat(starts[a:b], per[a:b]) + step] + _place(number))
+        out[a:b] = mix(np.add.reduceat(terms, np.cumsum(per[a:b]) - per[a:b]) + size[a:b].astype(np.uint64))
+    return out
+
+
+def _place(number: np.ndarray) -> np.ndarray:
+    return mix((number.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def fragments(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -46,11 +85,12 @@ def fragments(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: in
     if not total:
         return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
     power, inverse = powers(n + 1)
-    terms = segments._BYTE[data]
+    terms = _BYTE[data]
     terms *= power[:n]
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(terms, out=sums[1:])
     grams = mix((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1])
+    del terms, sums
     low = np.uint64((1 << _INDEX) - 1)
     ranked = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
     # least of every window of grams: from the right within blocks, and from the left
@@ -69,8 +109,7 @@ def fragments(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: in
     size = np.diff(np.append(starts, total))
     at, anchor, doc = window[starts], anchor[starts], doc[starts]
     stop = at + size + length - 1
-    hashes = mix(mix((sums[stop] - sums[at]) * inverse[at]) + (stop - at).astype(np.uint64))
-    return doc, at, size, grams[anchor], anchor - at, hashes
+    return doc, at, size, grams[anchor], anchor - at, overlapping_hashes(data, at, stop)
 
 
 def stretches(column: pa.Array, length: int):
