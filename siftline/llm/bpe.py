@@ -5,6 +5,13 @@ rows of a matrix of token ids, padded at the end.  In every round each row
 merges its leftmost pair of least rank; ranks of pairs come from a hash table
 held in arrays, and rows that have no pair left are taken out.  Each distinct
 cut of running text is encoded once per worker while it is remembered.
+
+A piece above ROW bytes is several rows.  The ids of a text are right exactly
+if every two neighbours are what their own bytes are encoded to: a merge across
+the seam of two ids would be the first one to cross it among their bytes as
+well, and a text's own seams are crossed by no merge.  So where two rows meet
+the ids around a seam that isn't right are encoded again, as rows of a matrix,
+until all seams are.
 """
 
 from __future__ import annotations
@@ -12,6 +19,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable
 from functools import cache
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -24,8 +32,8 @@ from siftline.llm.segments import CutTable, Memo
 from siftline.llm.vocab import pretoken_pattern, read_ranks, runs_of
 
 NONE = np.int32(2**31 - 1)
-#: Rows longer than this merge every occurrence of their least pair in a round.
-WIDE = 512
+#: Bytes of a row of a piece that is longer; bytes around a seam above which they are merged from a heap.
+ROW, STRETCH = 256, 2048
 
 
 class PairTable:
@@ -39,12 +47,6 @@ class PairTable:
                 if left is not None and right is not None:
                     keys.append(left << 32 | right)
                     values.append(rank)
-        #: Tokens that pair with a neighbour to a token of lower rank: merging one can bring up an earlier pair.
-        self.restless = np.zeros(max(ranks.values()) + 1, bool)
-        for key, rank in zip(keys, values, strict=True):
-            for part in (key >> 32, key & 0xFFFFFFFF):
-                if part > rank:
-                    self.restless[part] = True
         self.bits = max(4, int(len(keys) * 2.5).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.values = np.full(1 << self.bits, NONE, np.int32)
@@ -95,6 +97,8 @@ class ByteBpe:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
+        self.sizes = np.array(list(map(len, self.tokens)), np.int64)
+        self.right: dict[tuple[int, int], bool] = {}
         self.find = regex.compile(pattern).findall
         self.pieces = Memo(self._encode_pieces, capacity // 4)
         self.cuts = CutTable(self._encode_cuts, "<u4", capacity)
@@ -115,20 +119,29 @@ class ByteBpe:
     def encode_bytes(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Ids of pieces, each by itself."""
         out: list = [None] * len(pieces)
-        buckets: dict[int, list[int]] = {}
+        rest = []
         for i, p in enumerate(pieces):
             whole = self.ranks.get(p)
-            if whole is not None:
+            if whole is None:
+                rest.append(i)
+            else:
                 out[i] = np.array([whole], np.int32)
-            elif not p:
+        for i, ids in zip(rest, self._merged([pieces[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    def _merged(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Ids of pieces by merges alone."""
+        out: list = [None] * len(pieces)
+        buckets: dict[int, list[int]] = {}
+        for i, p in enumerate(pieces):
+            if not p:
                 out[i] = np.zeros(0, np.int32)
+            elif len(p) > ROW:
+                out[i] = self._rows(p)
             else:
                 buckets.setdefault(max(3, (len(p) - 1).bit_length()), []).append(i)
         for bits, members in sorted(buckets.items()):
-            if 1 << bits > WIDE:
-                for i in members:
-                    out[i] = self._wide(pieces[i])
-                continue
             rows = max(1, (1 << 20) >> bits)
             for at in range(0, len(members), rows):
                 part = members[at : at + rows]
@@ -136,6 +149,68 @@ class ByteBpe:
                     out[i] = ids
         return out
 
+    def _wrong(self, ids: np.ndarray, seams: np.ndarray) -> np.ndarray:
+        """Of the seams (an index is that of the id behind it) those whose two ids their bytes aren't encoded to."""
+        pairs = list(zip(ids[seams - 1].tolist(), ids[seams].tolist(), strict=True))
+        new = list({p for p in pairs if p not in self.right})
+        if len(self.right) + len(new) > 1 << 18:
+            self.right.clear()
+            new = list(set(pairs))
+        for pair, found in zip(new, self._merged([self.tokens[a] + self.tokens[b] for a, b in new]), strict=True):
+            self.right[pair] = found.tolist() == list(pair)
+        return seams[[not self.right[p] for p in pairs]]
+
+    def _rows(self, piece: bytes) -> np.ndarray:
+        """One piece as rows of ROW bytes, with the seams between them put right."""
+        rows = self._merged([piece[i : i + ROW] for i in range(0, len(piece), ROW)])
+        ids, reach = np.concatenate(rows), 4
+        wrong = self._wrong(ids, np.cumsum(list(map(len, rows)))[:-1])
+        while len(wrong):
+            # the ids around each wrong seam; where two such stretches touch they are one
+            low, high = np.maximum(wrong - reach, 0), np.minimum(wrong + reach, len(ids))
+            new = np.flatnonzero(np.concatenate(([True], low[1:] > np.maximum.accumulate(high)[:-1])))
+            low, high = low[new], np.maximum.reduceat(high, new)
+            at = np.concatenate(([0], np.cumsum(self.sizes[ids])))
+            raw = [piece[a:b] for a, b in zip(at[low].tolist(), at[high].tolist(), strict=True)]
+            found = [None if len(r) > ROW else r for r in raw]
+            settled = iter(self._merged([r for r in found if r is not None]))
+            found = [next(settled) if r is not None else self._heap(raw[i]) if len(raw[i]) > STRETCH else self._matrix([raw[i]], len(raw[i]))[0] for i, r in enumerate(found)]
+            parts, seams, done, n = [], [], 0, 0
+            for a, b, f in zip(low.tolist(), high.tolist(), found, strict=True):
+                parts += [ids[done:a], f]
+                n += a - done
+                seams += [n, n + len(f)]
+                n, done = n + len(f), b
+            ids = np.concatenate((*parts, ids[done:]))
+            seams = np.unique(seams)
+            wrong = self._wrong(ids, seams[(seams > 0) & (seams < len(ids))])
+            reach *= 2
+        return ids
+
+    def _heap(self, raw: bytes) -> np.ndarray:
+        """A stretch where a seam shifts all that follows, as in words that repeat: its pairs by rank and place from a heap."""
+        rank, n = self.ranks.get, len(raw)
+        token = [raw[i : i + 1] for i in range(n)]
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap = [(r, i) for i in range(n - 1) if (r := rank(raw[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)
+            j = right[i] if token[i] else n
+            if j == n or rank(token[i] + token[j]) != r:
+                continue  # one of the two has been merged since
+            token[i] += token[j]
+            token[j] = b""
+            k = right[i] = right[j]
+            if k < n:
+                left[k] = i
+                if (r := rank(token[i] + token[k])) is not None:
+                    heappush(heap, (r, i))
+            k = left[i]
+            if k >= 0 and (r := rank(token[k] + token[i])) is not None:
+                heappush(heap, (r, k))
+        return np.fromiter((self.ranks[t] for t in token if t), np.int32)
+
     def _matrix(self, pieces: list[bytes], width: int) -> Iterable[np.ndarray]:
         lengths = np.array(list(map(len, pieces)))
         raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(len(pieces), width)
@@ -177,30 +252,6 @@ class ByteBpe:
             pairs[columns[None, :] >= lengths[row_of][:, None] - 1] = NONE
         return result
 
-    def _wide(self, piece: bytes) -> np.ndarray:
-        """One long piece: a round merges all occurrences of its least pair, from the left.
-
-        That is the same as one merge a round, unless the merged token pairs
-        to one of lower rank; then the leftmost alone is merged.
-        """
-        ids = self.single[np.frombuffer(piece, np.uint8)]
-        while len(ids) > 1:
-            pairs = self.table(ids[:-1], ids[1:])
-            least = pairs.min()
-            if least == NONE:
-                break
-            at = np.flatnonzero(pairs == least)
-            # in a run of overlapping pairs every other one merges
-            starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-            offset = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
-            at = at[:1] if self.table.restless[least] else at[offset % 2 == 0]
-            ids = ids.copy()
-            ids[at] = least
-            keep = np.ones(len(ids), bool)
-            keep[at + 1] = False
-            ids = ids[keep]
-        return ids
-
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Ids of each document of a UTF-8 buffer, without special tokens."""
         ids, bounds = self.cuts(data, offsets)
