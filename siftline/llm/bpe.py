@@ -130,14 +130,14 @@ class ByteBpe:
             out[i] = ids
         return out
 
-    def _merged(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """Ids of pieces by merges alone."""
+    def _merged(self, pieces: list[bytes], *, cut: bool = True) -> list[np.ndarray]:
+        """Ids of pieces by merges alone; ``cut``: long ones as several rows."""
         out: list = [None] * len(pieces)
         buckets: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
             if not p:
                 out[i] = np.zeros(0, np.int32)
-            elif len(p) > ROW:
+            elif cut and len(p) > ROW:
                 out[i] = self._rows(p)
             else:
                 buckets.setdefault(max(3, (len(p) - 1).bit_length()), []).append(i)
@@ -156,7 +156,7 @@ class ByteBpe:
         if len(self.right) + len(new) > 1 << 18:
             self.right.clear()
             new = list(set(pairs))
-        for pair, found in zip(new, self._merged([self.tokens[a] + self.tokens[b] for a, b in new]), strict=True):
+        for pair, found in zip(new, self._merged([self.tokens[a] + self.tokens[b] for a, b in new], cut=False), strict=True):
             self.right[pair] = found.tolist() == list(pair)
         return seams[[not self.right[p] for p in pairs]]
 
