@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import langid, ngram_join, packing, quality, suffix_dedup
-from siftline.llm.storage import written
+from siftline.llm.storage import free_name, written
 from siftline.llm.vocab import public
 
 #: Documents whose language scores less are rejected.
@@ -22,8 +22,9 @@ LEAST_SCORE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those of no clear language."""
     model = langid.train(docs, public("byte_bpe_multi_50k.tiktoken"))
-    predicted = langid.predict(docs, model, out="__lang", score="__score")
-    return predicted.filter((F.col("__lang") != "und") & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = free_name(docs, "lang"), free_name(docs, "score")
+    predicted = langid.predict(docs, model, out=lang, score=score)
+    return predicted.filter((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,17 +37,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of linked documents the one with the least id stays.
 
     Rows that repeat an id with different texts are documents of their own, in
-    the order of id and a hash of the text; rows without id all stay.
+    the order of id and a hash of the text; of rows with equal id and text one
+    stays; rows without id all stay.
     """
-    if ngram_join.ids_repeat(docs.select(F.col("doc_id").alias("id"), "text")):
-        keyed = docs.filter("doc_id IS NOT NULL").withColumn("__key", ngram_join.node("doc_id", "text"))
-        found = ngram_join.linked(keyed.select(F.col("__key").alias("id"), "text")).select(F.col("doc_id").alias("__key"), "component_id")
-        placed = keyed.select("__key", "doc_id").join(found.distinct(), "__key")
-        stay = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("x")).select("x.__key")
-        return keyed.join(stay, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns).union(docs.filter("doc_id IS NULL"))
-    found = ngram_join.ngram_components(docs.select("doc_id", "text"))
-    stay = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).union(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    named = docs.filter("doc_id IS NOT NULL")
+    if named.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        found = ngram_join.ngram_components(docs.select("doc_id", "text"))
+        gone = written(found.filter("doc_id != component_id").select("doc_id"), "gone")
+        return docs.join(F.broadcast(gone) if gone.count() <= ngram_join.IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    key = free_name(docs, "key")
+    keyed = named.withColumn(key, ngram_join.node("doc_id", "text"))
+    found = ngram_join.linked(keyed.select(F.col(key).alias("id"), "text")).select(F.col("doc_id").alias(key), "component_id")
+    placed = keyed.select(key, "doc_id").join(found.distinct(), key)
+    stay = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", key)).alias("x")).select(f"x.{key}")
+    return keyed.join(stay, key, "left_semi").dropDuplicates([key]).select(*docs.columns).union(docs.filter("doc_id IS NULL"))
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

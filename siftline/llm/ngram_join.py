@@ -7,17 +7,18 @@
    its mean.
 2. Two sets that link share a shingle among the first n - ceil(0.75 n) + 1 of
    either, in any common order.  Frequent shingles (by the sketch) come last in
-   the order, so that lists of documents under a shingle stay short.  Documents
-   without a partner of fitting size go, and of equal lists one stays.
-3. The documents of a list are sorted by size and compared in tiles of size
-   bands.  Differing bits of two bitmaps are a lower bound of the symmetric
-   difference, hence an upper bound of the overlap; only pairs that the bound
-   lets through go on.  Long lists are dealt out as tiles to many tasks.
-4. What goes on from a list in the first round is a spanning forest of its
-   pairs; it is verified by exact intersection of sorted arrays.  In the
-   second round lists whose documents are still in different components give
-   all pairs across components that the bound lets through.  So every link
-   between two components is found, yet copies are not expanded into pairs.
+   the order, so that lists of documents under a shingle stay short; a list that
+   is long all the same is dealt out to tiles.  Documents without a partner of
+   fitting size go, of equal lists one stays, and from here on a class of equal
+   sets is one document.
+3. The documents of a tile are sorted by size and compared in size bands.
+   Differing bits of two bitmaps are a lower bound of the symmetric difference,
+   hence an upper bound of the overlap; only pairs that the bound lets through
+   go on, to an exact intersection of sorted arrays.
+4. The first round looks within tiles, for pairs that connect them.  The second
+   takes lists whose documents are still in different components, and compares
+   all of their pairs across components.  So every link between two components
+   is found, yet copies are not expanded into pairs.
 """
 
 from __future__ import annotations
@@ -33,12 +34,13 @@ from siftline.llm.arrow import map_arrow, text_slices, utf8_buffer
 from siftline.llm.components import components
 from siftline.llm.segments import mix
 from siftline.llm.shingles import shingle_sets
-from siftline.llm.storage import written
+from siftline.llm.storage import discard, written
 
 PERCENT, WIDTH = 75, 5
-#: Least and most bits of a bitmap, bits of a sketch counter's number, documents of a tile.
-BITMAP, WIDEST, SKETCH, TILE = 1024, 1 << 16, 22, 2048
-BAND = 256
+#: Least and most bits of a bitmap, bits of a sketch counter's number, documents of a tile, and of a band.
+BITMAP, WIDEST, SKETCH, TILE, BAND = 1024, 1 << 16, 22, 4096, 256
+#: Classes that are broadcast at most, ids that are, and keys that a task remembers.
+CLASSES, IDS, SEEN = 100_000, 2_000_000, 1_000_000
 
 
 def widths(n: np.ndarray) -> np.ndarray:
@@ -104,8 +106,36 @@ def profile(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_arrow(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL"), run, schema)
 
 
+def classes(documents: DataFrame) -> DataFrame:
+    """The documents (id, n) with the least id of equal sets as class, and whether the class is a large one.
+
+    Equal sets have equal sums of two hashes of every shingle, 128 bits, and
+    equal sizes.  Classes above one in CLASSES of all rows, so less than
+    CLASSES of them, are broadcast; the others are joined in a shuffle.
+    """
+    keys = ["k1", "k2", "n"]
+    sets = written(documents.filter("n > 0").groupBy(*keys).agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("c")).filter("c > 1"), "classes")
+    least = max(1000, documents.count() // CLASSES)
+    marked = documents.select("id", *keys).join(F.broadcast(sets.filter(F.col("c") > least).drop("c")), keys, "left")
+    rest = marked.filter("class IS NULL AND n > 0").drop("class").join(sets.filter(F.col("c") <= least).drop("c"), keys, "left")
+    own = [
+        marked.filter("class IS NOT NULL").select("id", "n", "class", F.lit(True).alias("large")),
+        rest.select("id", "n", F.coalesce("class", "id").alias("class"), F.lit(False).alias("large")),
+        marked.filter("n = 0").select("id", "n", F.col("id").alias("class"), F.lit(False).alias("large")),
+    ]
+    out = written(own[0].union(own[1]).union(own[2]), "members")
+    discard(sets)
+    return out
+
+
 def postings(df: DataFrame, frequent: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """(shingle, id, n) for the first shingles of each document; equal sets within a task once."""
+    """(shingle, tile, tiles, id, n) for the first shingles of each document; equal sets within a task once.
+
+    A shingle that the sketch tells to be frequent has a power of two of
+    tiles.  A document's tile is one of two hashes of its id, by a bit of the
+    shingle: lists with the same documents have nearly the same tiles, and
+    tiles of the two kinds cross.
+    """
     shared = df.sparkSession.sparkContext.broadcast(frequent)  # of the sketch's fixed size at most
 
     def run(batches):
@@ -116,39 +146,92 @@ def postings(df: DataFrame, frequent: np.ndarray, id_col: str, text_col: str) ->
             n = np.bincount(docs, minlength=batch.num_rows)
             ends = np.cumsum(n)
             keep = np.zeros(batch.num_rows, bool)
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes), dtype=np.uint64)))
-            for i, key in enumerate(zip(n.tolist(), (sums[ends] - sums[ends - n]).tolist(), strict=True)):
+            sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes + np.uint64(salt)), dtype=np.uint64))) for salt in (0, 0x51)]
+            for i, key in enumerate(zip(n.tolist(), *((s[ends] - s[ends - n]).tolist() for s in sums), strict=True)):
                 if key[0] and key not in seen:
                     seen.add(key)
                     keep[i] = True
-            order = np.lexsort((hashes, weights[(hashes >> np.uint64(64 - SKETCH)).astype(np.int64)], docs))
+            if len(seen) > SEEN:
+                seen.clear()
+            weight = weights[(hashes >> np.uint64(64 - SKETCH)).astype(np.int64)]
+            order = np.lexsort((hashes, weight, docs))
             rank = np.arange(len(docs)) - np.repeat(ends - n, n)
             first = n - -(-PERCENT * n // 100) + 1
             chosen = (rank < first[docs]) & keep[docs]
-            docs, hashes = docs[chosen], hashes[order][chosen]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column("id").take(pa.array(docs)), pa.array(n[docs], pa.int64())], names=["shingle", "id", "n"])
-
-    return map_arrow(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL"), run, "shingle long, id long, n long")
+            docs, hashes, weight = docs[chosen], hashes[order][chosen], weight[order][chosen]
+            tiles = np.where(weight > TILE, 1 << np.ceil(np.log2(np.maximum(weight, 1) / TILE)).astype(np.int64), 1)
+            ids = batch.column("id").to_numpy()[docs]
+            tile = (mix(ids.view(np.uint64) + (hashes & np.uint64(1)) + np.uint64(0x5F)) >> np.uint64(8)).astype(np.int64) % tiles
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(tile, pa.int32()), pa.array(tiles, pa.int32()), pa.array(ids), pa.array(n[docs], pa.int64())], names=["shingle", "tile", "tiles", "id", "n"])
+
+    return map_arrow(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL"), run, "shingle long, tile int, tiles int, id long, n long")
+
+
+def grouped(batches, names: tuple[str, ...]):
+    """(table, edges): runs of rows with equal ``names``, as they come sorted; the runs of a table are whole."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        table = table.combine_chunks()
+        keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in names], 1)
+        edges = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        last = int(edges[-1]) if len(edges) else 0
+        if last:
+            yield table.slice(0, last), np.concatenate(([0], edges))
+        held = table.slice(last)
+    if held is not None and held.num_rows:
+        yield held.combine_chunks(), np.array([0, held.num_rows])
 
 
 def lists_of(posted: DataFrame) -> DataFrame:
-    """(shingle, id, n, m): documents that have a partner of fitting size under a shingle.
+    """(shingle, tile, ids): the documents of every tile that can have a partner.
 
-    m is the number of documents in the list; of lists with the same documents
-    one stays.  All is found in the one shuffle by shingle, and written once.
+    A list of one tile keeps documents with a partner of fitting size; of such
+    lists with equal documents one stays.  Tiles of longer lists stay as they
+    are, and an unexpectedly long one is cut on.
     """
-    by = Window.partitionBy("shingle")
-    near = posted.withColumns({"_less": F.lag("n").over(by.orderBy("n", "id")), "_more": F.lead("n").over(by.orderBy("n", "id"))})
-    near = near.filter(f"100 * _less >= {PERCENT} * n OR 100 * n >= {PERCENT} * _more").select("shingle", "id", "n")
-    # two independent hashes and the size identify the documents of a list
-    marked = written(near.withColumns({
-        "m": F.count(F.lit(1)).over(by),
-        "_s": F.sum(F.expr("xxhash64(id) >> 20")).over(by),
-        "_t": F.sum(F.expr("xxhash64(id, 1) >> 20")).over(by),
-        "_first": F.min("id").over(by),
-    }), "marked")
-    one = marked.filter("id = _first").groupBy("_s", "_t", "m").agg(F.min("shingle").alias("shingle")).select("shingle")
-    return marked.select("shingle", "id", "n", "m").join(one, "shingle", "left_semi")
+    schema = "shingle long, tile int, ids array<long>, ns array<long>, h1 long, h2 long"
+    sorted_ = posted.repartition("shingle", "tile").sortWithinPartitions("shingle", "tile", "n", "id")
+
+    def run(batches):
+        seen: set = set()
+        for table, edges in grouped(batches, ("shingle", "tile")):
+            shingle, tile, tiles, ids, n = (table.column(c).to_numpy() for c in ("shingle", "tile", "tiles", "id", "n"))
+            sizes = np.diff(edges)
+            number = np.repeat(np.arange(len(sizes)), sizes)
+            one = (tiles == 1) & (sizes[number] <= 2 * TILE)
+            before, after = np.zeros(len(n), bool), np.zeros(len(n), bool)
+            same = number[1:] == number[:-1]
+            fits = same & (100 * n[:-1] >= PERCENT * n[1:])
+            before[1:], after[:-1] = fits, fits
+            keep = ~one | before | after
+            # long lists are cut into tiles of their own
+            within = np.arange(len(n)) - np.repeat(edges[:-1], sizes)
+            part = np.where(one, 0, within // (2 * TILE))
+            shingle, tile, ids, n, number, part, one = (x[keep] for x in (shingle, tile, ids, n, number, part, one))
+            if not len(ids):
+                continue
+            cut = np.flatnonzero(np.concatenate(([True], (number[1:] != number[:-1]) | (part[1:] != part[:-1]))))
+            count = np.diff(np.append(cut, len(ids)))
+            keys = []
+            for salt in (0x33, 0x9D):
+                h = np.add.reduceat(mix(mix(ids.view(np.uint64) + np.uint64(salt)) + np.uint64(salt)), cut) + count.astype(np.uint64)
+                alone = mix(mix(shingle[cut].view(np.uint64) + np.uint64(salt)) + (tile[cut].astype(np.uint64) << np.uint64(32)) + part[cut].astype(np.uint64))
+                keys.append(np.where(one[cut], h, alone).view(np.int64))
+            new = np.ones(len(cut), bool)
+            for i, key in enumerate(zip(keys[0].tolist(), keys[1].tolist(), strict=True)):
+                new[i] = key not in seen
+                seen.add(key)
+            if len(seen) > SEEN:
+                seen.clear()
+            offsets = pa.array(np.append(cut, len(ids)).astype(np.int32))
+            arrays = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids, n)]
+            # parts of a tile are tiles: numbered above any tile that a hash gives
+            name = tile[cut].astype(np.int64) + (part[cut] << 20)
+            yield pa.RecordBatch.from_arrays([pa.array(shingle[cut]), pa.array(name, pa.int32()), *arrays, *map(pa.array, keys)], names=["shingle", "tile", "ids", "ns", "h1", "h2"]).filter(pa.array(new))
+
+    lists = map_arrow(sorted_, run, schema)
+    return lists.groupBy("h1", "h2").agg(F.min_by(F.struct("shingle", "tile", "ids", "ns"), "shingle").alias("x")).select("x.*")
 
 
 def passing(n_a, bits_a, n_b, bits_b) -> np.ndarray:
@@ -159,40 +242,41 @@ def passing(n_a, bits_a, n_b, bits_b) -> np.ndarray:
     return 100 * overlap >= PERCENT * (both - overlap)
 
 
-def tile_pairs(n: np.ndarray, raw: list[bytes], side: np.ndarray | None):
-    """Row indices (i, j) of passing pairs among rows sorted by size, band against band.
+def bands(n: np.ndarray, width: np.ndarray, rows: np.ndarray):
+    """Stretches of ``rows`` (ascending in n) with bitmaps of one width, of at most BAND rows."""
+    cuts = np.concatenate(([0], np.flatnonzero(width[rows][1:] != width[rows][:-1]) + 1, [len(rows)]))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        for i in range(a, b, BAND):
+            yield rows[i : min(i + BAND, b)]
 
-    A band has bitmaps of one width; of two the wider is folded.  side: None,
-    or True and False for rows of two parts; then only pairs across count.
+
+def tile_pairs(n: np.ndarray, raw: list[bytes], left: np.ndarray, right: np.ndarray):
+    """Row indices (i of left, j of right, i != j) of passing pairs, size band against size band.
+
+    n ascends; left and right are ascending rows.  Of two widths the wider
+    bitmap is folded.
     """
     width = np.array([8 * len(x) for x in raw])
-    cuts = np.concatenate(([0], np.flatnonzero(width[1:] != width[:-1]) + 1, [len(n)]))
-    bands = [(i, min(i + BAND, b)) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) for i in range(a, b, BAND)]
-    for k, (a, b) in enumerate(bands):
-        rows = slice(a, b)
-        own = stacked(raw[rows], int(width[a]))
-        for c, d in bands[k:]:
-            if 100 * n[b - 1] < PERCENT * n[c]:
+    others = list(bands(n, width, right))
+    for rows in bands(n, width, left):
+        for columns in others:
+            if 100 * n[columns[-1]] < PERCENT * n[rows[0]]:
+                continue
+            if 100 * n[rows[-1]] < PERCENT * n[columns[0]]:
                 break
-            columns = slice(c, d)
-            other = own if a == c else stacked(raw[columns], int(width[a]))
-            ok = passing(n[rows, None], own[:, None, :], n[None, columns], other[None, :, :])
-            if a == c:
-                ok &= np.triu(np.ones(ok.shape, bool), 1)
-            if side is not None:
-                ok &= side[rows, None] != side[None, columns]
+            size = int(min(width[rows[0]], width[columns[0]]))
+            x, y = (stacked([raw[k] for k in at.tolist()], size) for at in (rows, columns))
+            ok = passing(n[rows, None], x[:, None, :], n[None, columns], y[None, :, :])
+            ok &= rows[:, None] != columns[None, :]
             i, j = np.nonzero(ok)
-            yield i + a, j + c
+            yield rows[i], columns[j]
 
 
-def forest(ids: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[int, int]]:
+def forest(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Edges that connect what the pairs connect: stars around the rows of least id.
 
     Lists that share most of their documents so give mostly the same edges.
     """
-    if not pairs:
-        return []
-    a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
     if len(a) <= 1:
         return list(zip(a.tolist(), b.tolist(), strict=True))
     ends, other = np.concatenate((a, b)), np.concatenate((b, a))
@@ -214,40 +298,75 @@ def forest(ids: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[
     return out
 
 
-def candidates(lists: DataFrame, bits: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Pairs (a, b) that the bound lets through: a forest of each list, or all across labels."""
-    rows = lists.join(bits, "id")
-    if labels is not None:
-        rows = rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        spread = lists.join(labels, "id", "left").groupBy("shingle").agg(F.min(F.coalesce("label", "id")).alias("x"), F.max(F.coalesce("label", "id")).alias("y"))
-        rows = rows.join(spread.filter("x != y").select("shingle"), "shingle", "left_semi")
-    else:
-        rows = rows.withColumn("label", F.lit(0).cast("long"))
-    parts = f"int(ceil(m / {TILE}))"
-    rows = rows.withColumn("part", F.expr(f"int(pmod(xxhash64(id, 7), {parts}))"))
-    rows = rows.withColumn("other", F.explode(F.expr(f"sequence(0, {parts} - 1)")))
-    rows = rows.selectExpr("shingle", "id", "n", "bits", "label", "part", "least(part, other) AS i", "greatest(part, other) AS j")
-    rows = rows.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "n", "id")
-    across = labels is not None
+def links_within(ids: np.ndarray, n: np.ndarray, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that connect most of what passes in a tile.
 
-    def groups(batches):
-        """Rows of one tile at a time, as they come sorted."""
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            keys = np.stack([table.column(c).to_numpy() for c in ("shingle", "i", "j")], 1)
-            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            last = edges[-1] if len(edges) else 0
-            if last:
-                yield table.slice(0, last), np.concatenate(([0], edges))
-            held = table.slice(last)
-        if held is not None and held.num_rows:
-            yield held, np.array([0, held.num_rows])
+    The row of least id is compared with all others and takes with it what
+    passes; so a cluster of near copies costs one comparison a row.  When
+    several rows in turn found nothing, the rest is compared band by band.
+    """
+    rest, a, b, vain = np.arange(len(ids)), [], [], 0
+    while len(rest) > BAND // 4 and vain < 8:
+        centre = rest[ids[rest].argmin()]
+        rest = rest[rest != centre]
+        found = [p[1] for p in tile_pairs(n, raw, np.array([centre]), rest)]
+        hits = np.concatenate(found) if found else rest[:0]
+        vain = 0 if len(hits) else vain + 1
+        a.append(np.full(len(hits), centre))
+        b.append(hits)
+        rest = np.setdiff1d(rest, hits, assume_unique=True)
+    pairs = [(i[i < j], j[i < j]) for i, j in tile_pairs(n, raw, rest, rest)]
+    if pairs:
+        edges = forest(ids, np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
+        a.append(np.array([e[0] for e in edges], np.int64))
+        b.append(np.array([e[1] for e in edges], np.int64))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def links_across(n: np.ndarray, raw: list[bytes], label: np.ndarray, guest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All passing pairs of rows with different labels, but for pairs of guests."""
+    values, at = np.unique(label[~guest], return_inverse=True)
+    if not len(values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    common = values[np.bincount(at).argmax()]
+    some, own = np.flatnonzero(guest | (label != common)), np.flatnonzero(~guest)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, j in tile_pairs(n, raw, some, own):
+        apart = label[i] != label[j]
+        a.append(i[apart])
+        b.append(j[apart])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def candidates(entries: DataFrame, bits: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Pairs (a, b) that the bound lets through: connecting ones of each tile, or all across labels.
+
+    ``entries``: shingle, tile, id (of a class), n.  Across labels the rows of
+    a list that don't have its most frequent label visit all of its tiles; so
+    a list whose documents are of one component sends nothing, and one of two
+    tiles and more sends its few others.
+    """
+    across = labels is not None
+    rows = entries
+    if across:
+        rows = entries.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        spread = rows.groupBy("shingle").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("tile").alias("t"), F.max("tile").alias("u"))
+        mixed = written(rows.join(spread.filter("x != y").select("shingle", F.expr("t != u").alias("wide")), "shingle"), "mixed")
+        many = mixed.filter("wide")
+        common = many.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg(F.max_by("label", F.struct("c", "label")).alias("common"))
+        visitors = many.join(common, "shingle").filter("label != common").select("shingle", F.col("tile").alias("home"), "id", "n", "label")
+        visits = visitors.join(many.select("shingle", "tile").distinct(), "shingle").filter("tile != home")
+        names = ["shingle", "tile", "id", "n", "label"]
+        rows = mixed.select(*names, F.lit(False).alias("guest")).union(visits.select(*names, F.lit(True).alias("guest")))
+    else:
+        rows = rows.withColumns({"label": F.lit(0).cast("long"), "guest": F.lit(False)})
+    rows = rows.join(bits, "id").select("shingle", "tile", "id", "n", "bits", "label", "guest")
+    rows = rows.repartition("shingle", "tile").sortWithinPartitions("shingle", "tile", "n", "id")
 
     def run(batches):
-        for table, edges in groups(batches):
-            ids, n, label, part = (table.column(c).to_numpy() for c in ("id", "n", "label", "part"))
-            i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
+        for table, edges in grouped((b.slice(i, 8192) for b in batches for i in range(0, b.num_rows, 8192)), ("shingle", "tile")):
+            ids, n, label, guest = (table.column(c).to_numpy() for c in ("id", "n", "label", "guest"))
             raw = table.column("bits").to_pylist()
             sizes = np.diff(edges)
             found_a, found_b = [], []
@@ -257,33 +376,35 @@ def candidates(lists: DataFrame, bits: DataFrame, labels: DataFrame | None) -> D
                 for size in np.unique(least).tolist():
                     at = two[least == size]
                     ok = passing(n[at], stacked([raw[k] for k in at.tolist()], 8 * size), n[at + 1], stacked([raw[k + 1] for k in at.tolist()], 8 * size))
+                    ok &= (label[at] != label[at + 1]) | (not across)
                     found_a.append(ids[at[ok]])
                     found_b.append(ids[at[ok] + 1])
             for k in np.flatnonzero(sizes > 2).tolist():
-                rows_ = slice(edges[k], edges[k + 1])
-                side = part[rows_] == i[edges[k]] if i[edges[k]] != j[edges[k]] else None
-                pairs = list(tile_pairs(n[rows_], raw[rows_], side))
-                own = ids[rows_]
-                if across:
-                    a, b = (np.concatenate([p[s] for p in pairs] or [np.zeros(0, np.int64)]) for s in (0, 1))
-                else:
-                    edge = forest(own, pairs)
-                    a, b = np.array([e[0] for e in edge], np.int64), np.array([e[1] for e in edge], np.int64)
-                if across:
-                    apart = label[rows_][a] != label[rows_][b]
-                    a, b = a[apart], b[apart]
-                found_a.append(own[a])
-                found_b.append(own[b])
-            if not found_a:
-                continue
-            a, b = np.concatenate(found_a), np.concatenate(found_b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
-
-    pairs = map_arrow(rows, run, "a long, b long").filter("a != b").distinct()
+                own = slice(edges[k], edges[k + 1])
+                a, b = links_across(n[own], raw[own], label[own], guest[own]) if across else links_within(ids[own], n[own], raw[own])
+                found_a.append(ids[own][a])
+                found_b.append(ids[own][b])
+            if found_a:
+                a, b = np.concatenate(found_a), np.concatenate(found_b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+
+    out = written(map_arrow(rows, run, "a long, b long").filter("a != b").distinct(), "pairs")
     if across:
-        near = labels.select(F.col("id").alias("a"), F.col("label").alias("la")), labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
-        pairs = pairs.join(near[0], "a", "left").join(near[1], "b", "left").filter("coalesce(la, a) != coalesce(lb, b)").select("a", "b")
-    return pairs
+        discard(mixed)
+    return out
+
+
+def texts_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, text) of the documents of the pairs, written.
+
+    Their ids are broadcast where they are at most IDS; beyond, texts and ids
+    meet in a shuffle.
+    """
+    needed = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "needed")
+    few = needed.count() <= IDS
+    out = written(rows.join(F.broadcast(needed) if few else needed, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    discard(needed)
+    return out
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -313,6 +434,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(rows, run, "a long, b long")
 
 
+def links(rows: DataFrame, entries: DataFrame, bits: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The verified pairs of a round, written; what led to them is deleted."""
+    pairs = candidates(entries, bits, labels)
+    texts = texts_of(rows, pairs)
+    out = written(verified(pairs, texts), "links")
+    discard(pairs, texts)
+    return out
+
+
 def ids_repeat(rows: DataFrame) -> bool:
     """Whether an id of ``rows`` (id, text) has different texts."""
     texts = rows.filter("id IS NOT NULL").groupBy("id").agg(F.min(F.xxhash64("text")).alias("x"), F.max(F.xxhash64("text")).alias("y"))
@@ -328,27 +458,33 @@ def linked(rows: DataFrame, same: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of the rows (id, text) with an id, each id with one text; ``same``: further links (a, b)."""
     profiled = written(profile(rows, "id", "text"), "profile")
     documents = profiled.filter("bucket IS NULL")
-    heavy = profiled.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # bounded by the sketch
-    frequent = np.array([[r["bucket"] for r in heavy], [r["n"] for r in heavy]], np.int64).reshape(2, -1)
+    heavy = profiled.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most the sketch: two numbers a counter
+    frequent = np.stack([heavy.column(c).to_numpy().astype(np.int64) for c in ("bucket", "n")])
 
-    classes = documents.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("class"))
+    members = classes(documents)
+    class_of = members.groupBy("id").agg(F.min("class").alias("class"))
     lists = written(lists_of(postings(rows, frequent, "id", "text")), "lists")
-    wanted = lists.select("id").distinct()
-    texts = written(rows.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")), "texts")
-    bits = documents.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("bits").alias("bits"))
-
-    # equal sets link without a comparison
-    member = written(documents.filter("n > 0").join(classes, ["k1", "k2", "n"]).select("id", "class"), "members")
-    known = member.select(F.col("id").alias("a"), F.col("class").alias("b"))
-    first = written(verified(candidates(lists, bits, None), texts), "links")
-    known = known if same is None else known.union(same)
-    labels = written(components(first.union(known)).selectExpr("node AS id", "component AS label"), "labels")
-    second = written(verified(candidates(lists, bits, labels), texts), "links")
+    placed = lists.select("shingle", "tile", F.explode(F.arrays_zip("ids", "ns")).alias("x")).select("shingle", "tile", F.col("x.ids").alias("id"), F.col("x.ns").alias("n"))
+    entries = written(placed.join(class_of, "id").select("shingle", "tile", F.col("class").alias("id"), "n").distinct(), "entries")
+    bits = written(documents.join(entries.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("bits").alias("bits")), "bits")
+    discard(lists, profiled)
+
+    first = links(rows, entries, bits, None)
+    known = first
+    if same is not None:  # links of rows are links of their classes
+        x, y = (class_of.select(F.col("id").alias(c), F.col("class").alias(f"class_{c}")) for c in ("a", "b"))
+        known = first.union(same.join(x, "a").join(y, "b").select("class_a", "class_b"))
+    labels = written(components(known).selectExpr("node AS id", "component AS label"), "labels")
+    second = links(rows, entries, bits, labels)
+    discard(entries, bits, first)
     joined = second.join(labels.selectExpr("id AS a", "label AS la"), "a", "left").join(labels.selectExpr("id AS b", "label AS lb"), "b", "left")
-    joined = joined.selectExpr("coalesce(la, a) AS a", "coalesce(lb, b) AS b")
-    over = components(joined).selectExpr("node AS label", "component AS top")
-    final = labels.join(over, "label", "left").selectExpr("id", "coalesce(top, label) AS top")
-    return documents.join(final, "id", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("top", "id").alias("component_id"))
+    over = components(joined.selectExpr("coalesce(la, a) AS a", "coalesce(lb, b) AS b")).selectExpr("node AS label", "component AS top")
+    found = labels.union(over.selectExpr("label AS id", "label")).distinct().join(over, "label", "left")
+    tops = found.select(F.col("id").alias("class"), F.coalesce("top", "label").alias("top")).filter("class != top")
+    # members of a large class, of which there are few, get their component without a shuffle
+    large = tops.join(members.filter("large").select("class").distinct(), "class", "left_semi")
+    whole = members.filter("large").join(F.broadcast(large), "class", "left").union(members.filter("NOT large").join(tops, "class", "left"))
+    return whole.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("top", "class").alias("component_id"))
 
 
 def ngram_components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

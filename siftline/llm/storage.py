@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below spark.checkpoint.dir, which all executors share.
 
-    Where the setting is absent (single machine, tests) a folder in /tmp is
-    set as checkpoint folder first.
+    Where the setting is absent on a single machine, as in tests, a folder in
+    /tmp is set as checkpoint folder first; on a cluster that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"/tmp/siftline-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
@@ -34,7 +36,26 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of what ``written`` gave; nothing may be read from it later."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    out = f"__{name}"
+    while out.lower() in taken:
+        out += "_"
+    return out
 
 
 class Store:
