@@ -33,53 +33,59 @@ def hashes_of(words: str) -> Column:
     return F.expr(f"transform({words}, w -> xxhash64(w))")
 
 
-def _repeats(df: DataFrame) -> DataFrame:
-    """Adds n_repeat_words from _hashes: words in three-word windows that occur twice or more.
-
-    Windows are hashed.  Where any repeats they are sorted as integers of hash
-    bits above position bits; equal neighbours with equal whole hashes repeat.
-    The union of the windows is summed over their sorted positions.  Each step
-    is a column of its own so that no lambda computes an array again for every
-    element.
+def free_prefix(df: DataFrame) -> str:
+    """What no column of ``df`` begins with."""
+    out = "_q"
+    while any(c.lower().startswith(out) for c in df.columns):
+        out = "_" + out
+    return out
+
+
+def _repeats(df: DataFrame, p: str) -> DataFrame:
+    """Adds n_repeat_words from the hashes: words in three-word windows that occur twice or more.
+
+    Windows are hashed.  Where any repeats they are sorted by hash and
+    position; equal neighbours repeat.  The union of the windows is summed
+    over their sorted positions.  Each step is a column of its own so that no
+    lambda computes an array again for every element.
     """
+    h, w, s, at = f"{p}_hashes", f"{p}_windows", f"{p}_sorted", f"{p}_at"
+    df = df.withColumn(w, F.expr(f"CASE WHEN size({h}) < 3 THEN array() ELSE transform(sequence(0, size({h}) - 3), i -> xxhash64({h}[i], {h}[i + 1], {h}[i + 2])) END"))
+    df = df.withColumn(s, F.expr(f"CASE WHEN size(array_distinct({w})) < size({w}) THEN sort_array(transform({w}, (x, i) -> struct(x AS x, i AS i))) ELSE array() END"))
     df = df.withColumn(
-        "_windows",
-        F.expr("CASE WHEN size(_hashes) < 3 THEN array() ELSE transform(sequence(0, size(_hashes) - 3), i -> xxhash64(_hashes[i], _hashes[i + 1], _hashes[i + 2])) END"),
-    )
-    df = df.withColumn("_mask", F.expr("CAST(pow(2, greatest(1, ceil(log2(size(_hashes) + 1)))) AS BIGINT) - 1"))
-    df = df.withColumn("_sorted", F.expr("CASE WHEN size(array_distinct(_windows)) < size(_windows) THEN sort_array(transform(_windows, (h, i) -> (h & ~_mask) | i)) ELSE array() END"))
-    df = df.withColumn(
-        "_at",
+        at,
         F.expr(
-            "sort_array(transform(filter(_sorted, (p, j) -> "
-            "(j > 0 AND ((p ^ get(_sorted, j - 1)) & ~_mask) = 0 AND _windows[int(p & _mask)] = _windows[int(get(_sorted, j - 1) & _mask)]) OR "
-            "(j + 1 < size(_sorted) AND ((p ^ get(_sorted, j + 1)) & ~_mask) = 0 AND _windows[int(p & _mask)] = _windows[int(get(_sorted, j + 1) & _mask)])"
-            "), p -> p & _mask))"
+            f"sort_array(transform(filter({s}, (y, j) -> (j > 0 AND y.x = get({s}, j - 1).x) OR (j + 1 < size({s}) AND y.x = get({s}, j + 1).x)), y -> y.i))"
         ),
     )
     return df.withColumn(
         "n_repeat_words",
-        F.expr("CASE WHEN size(_at) = 0 THEN 0L WHEN size(_at) = 1 THEN 3L ELSE 3L + aggregate(sequence(1, size(_at) - 1), 0L, (n, j) -> n + least(3L, _at[j] - _at[j - 1])) END"),
-    )
+        F.expr(f"CASE WHEN size({at}) = 0 THEN 0L WHEN size({at}) = 1 THEN 3L ELSE 3L + aggregate(sequence(1, size({at}) - 1), 0L, (n, j) -> n + least(3L, {at}[j] - {at}[j - 1])) END"),
+    ).drop(w, s, at)
 
 
-def base_rules(df: DataFrame, text_col: str = "text") -> DataFrame:
+def base_rules(df: DataFrame, text_col: str = "text", *, hashes: str | None = None) -> DataFrame:
     """Every row with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
 
-    A null text has no words.  Adds working columns _text, _words and _hashes,
-    which the caller drops.  Rows are neither dropped nor moved.
+    A null text has no words.  Columns named as a result are replaced, all
+    others stay; ``hashes`` names a column for the hashes of the words, if
+    they are wanted.  Rows are neither dropped nor moved.
     """
-    df = df.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
-    df = df.withColumn("_words", words_of(F.col("_text")))
-    df = df.withColumn("_hashes", hashes_of("_words"))
-    df = df.withColumn("_lines", F.expr(r"filter(split(_text, '\n', -1), x -> x rlike '[^\\x20\\x09-\\x0D]')"))
-    df = df.withColumn("n_words", F.size("_words").cast("long"))
-    df = df.withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
-    df = df.withColumn("n_symbols", F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long"))
-    df = df.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-    df = _repeats(df)
+    p = free_prefix(df)
+    t, w, l = f"{p}_text", f"{p}_words", f"{p}_lines"
+    df = df.withColumn(t, F.coalesce(F.col(text_col), F.lit("")))
+    df = df.withColumn(w, words_of(F.col(t)))
+    df = df.withColumn(f"{p}_hashes", hashes_of(w))
+    df = df.withColumn(l, F.expr(rf"filter(split({t}, '\n', -1), x -> x rlike '[^\\x20\\x09-\\x0D]')"))
+    df = df.withColumn("n_words", F.size(w).cast("long"))
+    df = df.withColumn("word_chars", F.length(F.array_join(w, "")).cast("long"))
+    df = df.withColumn("n_symbols", F.regexp_count(t, F.lit("[#*$%&|<>]")).cast("long"))
+    df = df.withColumn("n_dup_lines", (F.size(l) - F.size(F.array_distinct(l))).cast("long"))
+    df = _repeats(df, p)
     failed = (F.col("n_words") < WORDS) | (100 * F.col("n_repeat_words") > REPEATED * F.col("n_words"))
-    return df.withColumn("base_failed", failed).drop("_lines", "_windows", "_mask", "_sorted", "_at")
+    df = df.withColumn("base_failed", failed)
+    df = df.withColumnRenamed(f"{p}_hashes", hashes) if hashes else df.drop(f"{p}_hashes")
+    return df.drop(t, w, l)
 
 
 def grams(hashes: str, buckets: int = BUCKETS) -> Column:
@@ -126,11 +132,12 @@ def log_ratios(df: DataFrame, labels: DataFrame, *, trusted: int = TRUSTED, buck
     return filled.selectExpr(weight).scalar()
 
 
-def score(df: DataFrame, ratios: Column, hashes: str = "_hashes", out: str = "llr") -> DataFrame:
+def score(df: DataFrame, ratios: Column, hashes: str, out: str = "llr") -> DataFrame:
     """Adds the mean log ratio of the n-grams, 0 where there is none."""
-    df = df.withColumn("_grams", grams(hashes)).withColumn("_ratios", ratios)
-    mean = F.expr("CASE WHEN size(_grams) = 0 THEN 0D ELSE aggregate(_grams, 0D, (s, b) -> s + _ratios[b]) / size(_grams) END")
-    return df.withColumn(out, mean).drop("_grams", "_ratios")
+    p = free_prefix(df)
+    df = df.withColumn(f"{p}_grams", grams(hashes)).withColumn(f"{p}_ratios", ratios)
+    mean = F.expr(f"CASE WHEN size({p}_grams) = 0 THEN 0D ELSE aggregate({p}_grams, 0D, (s, b) -> s + {p}_ratios[b]) / size({p}_grams) END")
+    return df.withColumn(out, mean).drop(f"{p}_grams", f"{p}_ratios")
 
 
 def judge(df: DataFrame, labels: DataFrame, *, corpus: DataFrame | None = None, threshold: float = THRESHOLD, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -142,9 +149,11 @@ def judge(df: DataFrame, labels: DataFrame, *, corpus: DataFrame | None = None,
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept"]
     ratios = log_ratios(corpus if corpus is not None else df, labels, id_col=id_col, text_col=text_col)
-    out = score(base_rules(df.drop(*names), text_col), ratios)
+    rows = df.drop(*names)
+    hashes = f"{free_prefix(rows)}_of_words"
+    out = score(base_rules(rows, text_col, hashes=hashes), ratios, hashes)
     # A filter on kept must not be pushed below: the steps would be written into it,
     # and arrays computed anew for each element.  The id is never negative; an
     # expression that isn't deterministic is left where it is.
     stays = F.monotonically_increasing_id() >= 0
-    return out.withColumn("kept", stays & ~F.col("base_failed") & (F.col("llr") >= threshold)).drop("_text", "_words", "_hashes")
+    return out.withColumn("kept", stays & ~F.col("base_failed") & (F.col("llr") >= threshold)).drop(hashes)

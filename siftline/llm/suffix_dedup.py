@@ -25,11 +25,14 @@ from pyspark.sql import functions as F
 
 from siftline.llm.arrow import map_arrow, slices, utf8_buffer
 from siftline.llm.segments import mix
+from siftline.llm.storage import free_name
 from siftline.llm.suffix_sort import repeated
 
 LENGTH, GRAM = 200, 64
 #: A document is looked at in stretches of so many windows; about so many bytes of fragments are ordered at a time.
 STRETCH, SORTED = 4 << 20, 4 << 20
+#: Fragments of an anchor above which they are dealt out further, by so many bytes next to it.
+SPLIT, NEXT = 1000, 48
 _INDEX = 24
 # Grams only choose anchors and deal fragments out: a hash that two of them share costs time, never a result.
 _BASE = 0xD6E8FEB86659FD93  # odd, so that it has an inverse modulo 2**64
@@ -126,7 +129,7 @@ def stretches(column: pa.Array, length: int):
                 yield part, np.array([start + i]), np.array([s - a]), np.array([0]), np.array([len(part)])
 
 
-def places(dealt: DataFrame, text_col: str, *, once: bool) -> DataFrame:
+def places(dealt: DataFrame, row: str, mark: str, text_col: str, *, once: bool) -> DataFrame:
     """Fragments of all texts: anchor, frag, id, k, at, size, off, n.
 
     ``once``: equal fragments within a slice are one row with their number.
@@ -135,7 +138,7 @@ def places(dealt: DataFrame, text_col: str, *, once: bool) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            ids, k = batch.column("__id").to_numpy(), batch.column("__k").to_numpy()
+            ids, k = batch.column(row).to_numpy(), batch.column(mark).to_numpy()
             for data, index, base, begins, ends in stretches(batch.column(text_col), LENGTH):
                 doc, at, size, anchor, off, frag = fragments(data, begins, ends)
                 n = np.ones(len(doc), np.int64)
@@ -158,17 +161,18 @@ def places(dealt: DataFrame, text_col: str, *, once: bool) -> DataFrame:
 def ordered(found: DataFrame) -> DataFrame:
     """anchor, frag, runs [(from, to)]: the windows of each fragment that repeat.
 
-    ``found`` has the bytes of each distinct fragment (raw), its number n, and
-    the offset of its anchor (off); it is sorted by anchor within partitions.
+    ``found`` has the bytes of each distinct fragment or part of one (raw),
+    its number n, the offset of its anchor (off) and its first window (base);
+    it is sorted by anchor and part within partitions.
     """
     schema = "anchor long, frag long, runs array<struct<a: int, b: int>>"
 
     def settle(rows):
-        anchors, frags, offs, numbers, raws = rows
+        anchors, parts, frags, offs, bases, numbers, raws = rows
         data = np.frombuffer(b"".join(raws), np.uint8)
         sizes = np.array([len(r) for r in raws]) - LENGTH + 1
         begins = np.concatenate(([0], np.cumsum(sizes + LENGTH - 1)[:-1]))
-        group = np.cumsum(np.concatenate(([0], (anchors[1:] != anchors[:-1]).astype(np.int64))))
+        group = np.cumsum(np.concatenate(([0], ((anchors[1:] != anchors[:-1]) | (parts[1:] != parts[:-1])).astype(np.int64))))
         many, alone = numbers > 1, np.bincount(group)[group] == 1
         flags = np.repeat(many, sizes)
         # of a fragment that has its anchor to itself no other window can be equal
@@ -183,7 +187,7 @@ def ordered(found: DataFrame) -> DataFrame:
         first = np.flatnonzero(flags & (~padded[:-2] | edge))
         last = np.flatnonzero(flags & (~padded[2:] | np.append(edge[1:], True)))
         counts = np.bincount(of[first], minlength=len(raws))
-        runs = pa.StructArray.from_arrays([pa.array(within[first], pa.int32()), pa.array(within[last] + 1, pa.int32())], ["a", "b"])
+        runs = pa.StructArray.from_arrays([pa.array(bases[of[first]] + within[first], pa.int32()), pa.array(bases[of[last]] + within[last] + 1, pa.int32())], ["a", "b"])
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), runs)
         return pa.RecordBatch.from_arrays([pa.array(anchors), pa.array(frags), lists], names=["anchor", "frag", "runs"]).filter(pa.array(counts > 0))
 
@@ -191,15 +195,16 @@ def ordered(found: DataFrame) -> DataFrame:
         held, weight = [], 0
 
         def cut(last: bool):
-            """What is held up to the last anchor, which may go on in the next batch."""
+            """What is held up to the last anchor and part, which may go on in the next batch."""
             nonlocal held, weight
             table = pa.Table.from_batches(held).combine_chunks()
-            anchors = table.column("anchor").to_numpy()
-            stop = len(anchors) if last else int(np.searchsorted(np.cumsum(np.concatenate(([0], anchors[1:] != anchors[:-1]))), (anchors[1:] != anchors[:-1]).sum()))
+            keys = np.stack([table.column(c).to_numpy() for c in ("anchor", "part")], 1)
+            new = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            stop = len(keys) if last else int(new[-1]) if len(new) else 0
             part, rest = table.slice(0, stop), table.slice(stop)
             held, weight = rest.to_batches(), rest.nbytes
             if part.num_rows:
-                yield settle((*(part.column(c).to_numpy() for c in ("anchor", "frag", "off", "n")), part.column("raw").to_pylist()))
+                yield settle((*(part.column(c).to_numpy() for c in ("anchor", "part", "frag", "off", "base", "n")), part.column("raw").to_pylist()))
 
         for whole in batches:
             for start in range(0, whole.num_rows, 4096):
@@ -213,48 +218,79 @@ def ordered(found: DataFrame) -> DataFrame:
     return map_arrow(found, run, schema)
 
 
-def repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of ``df`` with __spans: what to remove of each row, as [(start, stop)] in bytes.
+def repeats(df: DataFrame, out: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The columns of ``df`` with ``out``: what to remove of each row, as [(start, stop)] in bytes.
 
     Spans may overlap; null stands for none.  Two rows that are the same in id
     and text repeat each other like any two documents.  Texts are shuffled
     once, and read from that shuffle by all steps.
+
+    A row is known by its id and 32 bits of its text's hash; where its id is
+    null, or ids repeat, 64 bits of a hash of both stand for the id.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.withColumn("__id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))).withColumn("__k", F.hash(F.coalesce(F.col(text_col), F.lit(""))))
-    dealt = keyed.repartition(n, "__id", "__k")
-
-    some = places(dealt, text_col, once=True).repartition("anchor")
+    row, mark, spans_, asked_ = (free_name(df, c) for c in ("row", "mark", "spans", "asked"))
+    ids = df.select(F.col(id_col).cast("long").alias("id")).filter("id IS NOT NULL")
+    unique = ids.groupBy("id").count().filter("count > 1").isEmpty()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    hashed = F.xxhash64(F.col(id_col).cast("long"), text, F.lit(1))
+    keyed = df.withColumns({row: F.coalesce(F.col(id_col).cast("long"), hashed) if unique else hashed, mark: F.hash(text)})
+    dealt = keyed.repartition(n, row, mark)
+
+    # every step takes all columns of the shuffle, else there would be several
+    some = places(dealt, row, mark, text_col, once=True).repartition("anchor")
     distinct = some.groupBy("anchor", "frag").agg(F.sum("n").alias("n"), F.min(F.struct("id", "k", "at", "size", "off")).alias("r"))
-    several = distinct.withColumn("all", F.sum("n").over(Window.partitionBy("anchor"))).filter("`all` > 1")
-    wanted = several.select("anchor", "frag", "n", F.col("r.id").alias("__id"), F.col("r.k").alias("__k"), F.col("r.at").alias("at"), F.col("r.size").alias("size"), F.col("r.off").alias("off"))
+    by = Window.partitionBy("anchor")
+    several = distinct.withColumns({"all": F.sum("n").over(by), "split": F.count(F.lit(1)).over(by) > SPLIT}).filter("`all` > 1")
+    wanted = several.select("anchor", "split", "frag", "n", F.col("r.id").alias(row), F.col("r.k").alias(mark), F.col("r.at").alias("at"), F.col("r.size").alias("size"), F.col("r.off").alias("off"))
 
     # the bytes of one of each, from any row with its id and text
-    asked = wanted.groupBy("__id", "__k").agg(F.collect_list(F.struct("anchor", "frag", "n", "at", "size", "off")).alias("__asked"))
+    asked = wanted.groupBy(row, mark).agg(F.collect_list(F.struct("anchor", "split", "frag", "n", "at", "size", "off")).alias(asked_))
 
     def bytes_of(batches):
+        names = ["anchor", "part", "frag", "n", "off", "base", "raw"]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         for whole in batches:
             for start in range(0, whole.num_rows, 64):
                 batch = whole.slice(start, 64)
                 out = []
-                for text, asked_ in zip(batch.column(text_col).to_pylist(), batch.column("__asked").to_pylist(), strict=True):
-                    raw = text.encode()
-                    out += [(f["anchor"], f["frag"], f["n"], f["off"], raw[f["at"] : f["at"] + f["size"] + LENGTH - 1]) for f in asked_]
-                columns = list(zip(*out, strict=True)) or [()] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["anchor", "frag", "n", "off", "raw"])
-
-    found = map_arrow(dealt.join(asked, ["__id", "__k"]), bytes_of, "anchor long, frag long, n long, off int, raw binary")
+                for t, fs in zip(batch.column(text_col).to_pylist(), batch.column(asked_).to_pylist(), strict=True):
+                    raw = t.encode()
+                    for f in fs:
+                        own = raw[f["at"] : f["at"] + f["size"] + LENGTH - 1]
+                        cuts = halves(own, f["off"], f["size"]) if f["split"] else [(0, 0, own)]
+                        out += [(f["anchor"], part, f["frag"], f["n"], f["off"] - base, base, piece) for part, base, piece in cuts]
+                columns = list(zip(*out, strict=True)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+
+    found = map_arrow(dealt.join(asked, [row, mark]), bytes_of, "anchor long, part long, frag long, n long, off int, base int, raw binary")
     # rows of the same id and text give the same fragments
-    result = ordered(found.repartition("anchor").dropDuplicates(["anchor", "frag"]).sortWithinPartitions("anchor", "frag"))
+    result = ordered(found.repartition("anchor", "part").dropDuplicates(["anchor", "part", "frag"]).sortWithinPartitions("anchor", "part", "frag"))
 
-    back = places(dealt, text_col, once=False).select("anchor", "frag", "id", "k", "at").join(result, ["anchor", "frag"])
+    back = places(dealt, row, mark, text_col, once=False).select("anchor", "frag", "id", "k", "at").join(result, ["anchor", "frag"])
     spans = (
-        back.select(F.col("id").alias("__id"), F.col("k").alias("__k"), F.expr(f"transform(runs, r -> struct(at + r.a AS a, at + r.b + {LENGTH - 1} AS b))").alias("s"))
-        .groupBy("__id", "__k")
-        .agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias("__spans"))
+        back.select(F.col("id").alias(row), F.col("k").alias(mark), F.expr(f"transform(runs, r -> struct(at + r.a AS a, at + r.b + {LENGTH - 1} AS b))").alias("s"))
+        .groupBy(row, mark)
+        .agg(F.array_distinct(F.flatten(F.collect_list("s"))).alias(spans_))
     )
-    return dealt.join(spans, ["__id", "__k"], "left").select(*(dealt[c] for c in df.columns), "__spans")
+    return dealt.join(spans, [row, mark], "left").select(*(dealt[c] for c in df.columns), F.col(spans_).alias(out))
+
+
+def halves(raw: bytes, off: int, size: int) -> list[tuple[int, int, bytes]]:
+    """(part, first window, bytes) of a fragment of an anchor with very many.
+
+    Equal windows have their anchor at the same offset.  Where half of the
+    rest lies in front of the anchor they agree in the NEXT bytes in front of
+    it, else in those behind it; windows are dealt out by a hash of these.
+    """
+    middle = (LENGTH - GRAM) // 2
+    cut = min(max(0, off - middle + 1), size)  # windows before this one have the anchor far on
+    out = []
+    for side, base, stop, near in ((b"<", 0, cut, raw[off - NEXT : off]), (b">", cut, size, raw[off + GRAM : off + GRAM + NEXT])):
+        if base < stop:
+            part = int.from_bytes(hashlib.blake2b(side + near, digest_size=8).digest(), "little", signed=True)
+            out.append((part, base, raw[base : stop + LENGTH - 1]))
+    return out
 
 
 def covered(spans) -> list[tuple[int, int]]:
@@ -283,13 +319,14 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     empty texts stay; a text that is repeated all through becomes empty.
     """
     out = out or text_col
-    rows = repeats(df, id_col=id_col, text_col=text_col)
+    spans_ = free_name(df.withColumn(out, F.lit(None)), "spans")
+    rows = repeats(df, spans_, id_col=id_col, text_col=text_col)
     names = [*(c for c in df.columns if c != out), out]
 
     def run(batches):
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column(text_col).to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column(text_col).to_pylist(), batch.column(spans_).to_pylist(), strict=True):
                 texts.append(text if not spans else remove(text.encode(), covered(spans)).decode(errors="ignore"))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(texts, pa.string())], names=names)
 
@@ -303,7 +340,7 @@ def repeat_digests(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     Null texts are empty; null ids are kept; texts under LENGTH bytes lose
     nothing; other columns are not read.
     """
-    rows = repeats(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    rows = repeats(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "__spans")
 
     def run(batches):
         for whole in batches:
