@@ -31,21 +31,35 @@ SPAN, LEAST = 24, 32
 _P = np.uint64(PRIME)
 
 
+#: Texts are worked on in blocks of so many code points.
+BLOCK = 1 << 18
+
+
 @cache
-def _powers(bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each base its first 2**bits powers and their inverses."""
+def _powers() -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each base its first BLOCK powers and those of its inverse; what is beyond is a product of two."""
     out = []
     for base in BASES:
         both = []
         for b in (base, pow(base, -1, PRIME)):
             powers = np.ones(1, np.uint64)
-            for k in range(bits):
-                powers = np.concatenate((powers, powers * np.uint64(pow(b, 1 << k, PRIME)) % _P))
+            while len(powers) < BLOCK:
+                powers = np.concatenate((powers, powers * np.uint64(pow(b, len(powers), PRIME)) % _P))
             both.append(powers)
         out.append(tuple(both))
     return out
 
 
+def _inverse(at: np.ndarray, k: int) -> np.ndarray:
+    """base**-at for each place."""
+    small = _powers()[k][1][at % BLOCK]
+    if not len(at) or int(at.max()) < BLOCK:
+        return small
+    blocks = at // BLOCK
+    whole = np.array([pow(BASES[k], -BLOCK * int(b), PRIME) for b in range(int(blocks.max()) + 1)], np.uint64)
+    return small * whole[blocks] % _P
+
+
 @cache
 def rungs(bits: int) -> np.ndarray:
     """The ladder's lengths up to 2**bits: four to each doubling."""
@@ -53,24 +67,28 @@ def rungs(bits: int) -> np.ndarray:
 
 
 class Prefixes:
-    """The prefix arrays of a text."""
+    """The prefix arrays of a text: four bytes a code point and base."""
 
     def __init__(self, text: str):
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         self.n = len(points)
         self.bits = max(1, self.n.bit_length())
-        self.powers = _powers(self.bits)
         self.sums = []
-        for powers, _ in self.powers:
-            sums = np.zeros(self.n + 1, np.uint64)
-            # a term is below 2**31, so sums of up to 2**33 terms fit
-            np.cumsum(points * powers[: self.n] % _P, out=sums[1:])
-            self.sums.append(sums % _P)
+        for k, (powers, _) in enumerate(_powers()):
+            sums, last = np.zeros(self.n + 1, np.uint32), np.uint64(0)
+            for a in range(0, self.n, BLOCK):
+                part = points[a : a + BLOCK].astype(np.uint64) + np.uint64(1)
+                # a term is below 2**31, so the sum of a block fits
+                part = np.cumsum(part * powers[: len(part)] % _P) % _P * np.uint64(pow(BASES[k], a, PRIME)) % _P
+                part = (part + last) % _P
+                sums[a + 1 : a + 1 + len(part)] = part
+                last = part[-1]
+            self.sums.append(sums)
 
     def spans(self, starts, stops, base: int = 0) -> np.ndarray:
         """Hashes of the spans [start, stop); equal spans have equal hashes, in any text."""
-        sums, inverse = self.sums[base], self.powers[base][1]
-        return (sums[stops] + _P - sums[starts]) % _P * inverse[starts] % _P
+        sums = self.sums[base]
+        return (sums[stops].astype(np.uint64) + _P - sums[starts]) % _P * _inverse(starts, base) % _P
 
     def span(self, start: int, stop: int) -> tuple[int, int]:
         return tuple(int(self.spans(np.array([start]), np.array([stop]), b)[0]) for b in (0, 1))
@@ -95,13 +113,15 @@ class Prefixes:
         down = self.spans(self.n - ladder, zero + self.n).astype(">u4").tobytes().hex()
         least = b""
         if self.n >= SPAN:
-            starts = np.arange(self.n - SPAN + 1)
             # a multiplier spreads the hashes, so that the least are a random choice of spans
-            mixed = self.spans(starts, starts + SPAN) * np.uint64(1_588_635_695) % _P
-            if len(mixed) > 8 * LEAST:
-                few = np.partition(mixed, 4 * LEAST)[: 4 * LEAST]
-                few = np.unique(few)
-                mixed = few if len(few) >= LEAST else mixed
+            mixed = np.zeros(0, np.uint64)
+            for a in range(0, self.n - SPAN + 1, BLOCK):
+                starts = np.arange(a, min(a + BLOCK, self.n - SPAN + 1))
+                found = self.spans(starts, starts + SPAN) * np.uint64(1_588_635_695) % _P
+                if len(found) > 8 * LEAST:
+                    few = np.unique(np.partition(found, 4 * LEAST)[: 4 * LEAST])
+                    found = few if len(few) >= LEAST else np.unique(found)[:LEAST]
+                mixed = np.unique(np.concatenate((mixed, found)))[: 4 * LEAST]
             least = np.unique(mixed)[:LEAST].astype(">u4").tobytes()
         return f"{self.n:x}.{whole}.{up}.{down}.{least.hex()}"
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,6 +28,8 @@ CHUNK = 1 << 18
 #: An archive that has grown to so many bytes is closed and the next begun.
 ROLL = 256 << 20
 DATE = "2000-01-01T00:00:00Z"
+#: Payloads with copies that are broadcast at most.
+KEEPERS = 400_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -39,8 +42,9 @@ def page_urn(page_id) -> str:
 
 
 def page_of(urn: str) -> int | None:
+    """The page of an id that page_urn gives; null for any other id."""
     inner = urn.removeprefix("<urn:siftline:page:").removesuffix(">")
-    return int(inner) if inner else None
+    return int(inner) if re.fullmatch(r"-?\d+", inner) else None
 
 
 def record(page_id, url, payload: bytes, refers_to=None, *, revisit: bool = False, level: int = 6) -> bytes:
@@ -77,39 +81,96 @@ def members(file) -> Iterator[bytes]:
 
 
 def fields(lines: list[str]) -> dict[str, str]:
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+    """Header fields by lower-case name; a line that begins with white space goes on with the one before."""
+    out: dict[str, str] = {}
+    name = ""
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        else:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
+
+
+def checked(stated: str | None, *forms: bytes) -> None:
+    """Raise unless a stated SHA-1 (base32 or hex) is that of one of the forms; other algorithms are not checked."""
+    kind, _, value = (stated or "").partition(":")
+    if kind.lower() in ("sha1", "sha-1") and value:
+        sums = {x for form in forms for x in (digest(form), hashlib.sha1(form).hexdigest().upper())}
+        if value.upper() not in sums:
+            raise ValueError("a record doesn't have its digest")
+
+
+def joined_chunks(body: bytes) -> bytes:
+    """The body of a chunked transfer without its chunk headers; one that isn't framed as such comes back as it is."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        size = body[at:end].split(b";")[0].strip() if end >= 0 else b""
+        try:
+            n = int(size, 16)
+        except ValueError:
+            return body
+        if n == 0:
+            return b"".join(out)
+        if body[end + 2 + n : end + 4 + n] != b"\r\n":
+            return body
+        out.append(body[end + 2 : end + 2 + n])
+        at = end + 4 + n
 
 
 def read_records(file) -> Iterator[dict]:
-    """The records of an archive: page_id, url, type, payload (None in a revisit), payload_bytes, payload_digest, refers_to.
-
-    A frame or digest that doesn't hold raises ValueError.
+    """The pages of an archive: record_id, page_id, url, type, payload (None in a revisit), payload_bytes, payload_digest, refers_to.
+
+    Yields records of type response and revisit that hold an HTTP message;
+    all others (warcinfo, request, metadata, resource, ...) are framed,
+    checked and passed over.  A payload is the body, without the framing of a
+    chunked transfer.  A missing block or payload digest is not checked, a
+    missing payload digest or HTTP length is taken from the payload; a revisit
+    without them has null there.  page_id and refers_to are null for ids that
+    ``record`` did not give.  A frame, a length or a stated digest that doesn't
+    hold raises ValueError.
     """
     for raw in members(file):
         end = raw.find(b"\r\n\r\n")
-        if end < 0 or not raw.startswith(b"WARC/1."):
+        if end < 0 or not raw.startswith(b"WARC/"):
             raise ValueError("not a WARC record")
-        head = fields(raw[:end].decode().split("\r\n")[1:])
-        size = int(head["content-length"])
+        head = fields(raw[:end].decode("utf-8", "replace").split("\r\n")[1:])
+        try:
+            size = int(head["content-length"])
+        except (KeyError, ValueError):
+            raise ValueError("a record has no content length") from None
         block = raw[end + 4 : end + 4 + size]
         if len(block) != size or raw[end + 4 + size :] != b"\r\n\r\n":
             raise ValueError("a block doesn't have its content length")
-        if head["warc-block-digest"] != f"sha1:{digest(block)}":
-            raise ValueError("a block doesn't have its digest")
+        checked(head.get("warc-block-digest"), block)
+        kind = head.get("warc-type", "").lower()
+        if kind not in ("response", "revisit") or not (kind == "revisit" or block.startswith(b"HTTP/")):
+            continue
         cut = block.find(b"\r\n\r\n")
-        http = fields(block[:cut].decode().split("\r\n")[1:])
-        revisit = head["warc-type"] == "revisit"
-        payload = None if revisit else block[cut + 4 :]
-        if payload is not None and (head["warc-payload-digest"] != f"sha1:{digest(payload)}" or len(payload) != int(http["content-length"])):
-            raise ValueError("a payload doesn't have its digest or length")
+        cut = len(block) if cut < 0 else cut
+        http = fields(block[:cut].decode("utf-8", "replace").split("\r\n")[1:])
+        length = int(http["content-length"]) if http.get("content-length", "").isdigit() else None
+        stated, payload = head.get("warc-payload-digest"), None
+        if kind == "response":
+            body = block[cut + 4 :]
+            payload = joined_chunks(body) if "chunked" in http.get("transfer-encoding", "").lower() else body
+            checked(stated, payload, body)
+            if payload is body and length not in (None, len(payload)):
+                raise ValueError("a payload doesn't have its length")
+            length = len(payload)
+        sha1 = stated.partition(":")[2] if stated and stated.lower().startswith("sha1:") else digest(payload) if payload is not None else None
         yield {
-            "page_id": page_of(head["warc-record-id"]),
+            "record_id": head.get("warc-record-id"),
+            "page_id": page_of(head.get("warc-record-id", "")),
             "url": head.get("warc-target-uri"),
-            "type": head["warc-type"],
+            "type": kind,
             "payload": payload,
-            "payload_bytes": int(http["content-length"]),
-            "payload_digest": head["warc-payload-digest"].removeprefix("sha1:"),
-            "refers_to": page_of(head["warc-refers-to"]) if revisit else None,
+            "payload_bytes": length,
+            "payload_digest": sha1,
+            "refers_to": page_of(head.get("warc-refers-to", "")) if kind == "revisit" else None,
         }
 
 
@@ -124,8 +185,16 @@ def keepers(df: DataFrame, *, min_bytes: int = 0, id_col: str = "page_id", url_c
     """
     rows = df.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = rows.withColumns({"_sha": F.sha1("html"), "_size": F.octet_length("html")})
-    keep = rows.groupBy("_sha", "_size").agg(F.max("page_id").alias("_keeper"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    joined = rows.join(keep, ["_sha", "_size"], "left")
+    keep = written(rows.groupBy("_sha", "_size").agg(F.max("page_id").alias("_keeper"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "keepers")
+    copies = keep.count()
+    if copies <= KEEPERS:  # some 60 bytes each
+        joined = rows.join(F.broadcast(keep.drop("_n")), ["_sha", "_size"], "left")
+    else:  # payloads that many rows have, of which there are few, never meet in one task
+        large = keep.orderBy(F.desc("_n"), "_sha").limit(KEEPERS // 4).select("_sha", "_size", "_keeper")
+        large = written(large, "keepers")
+        rest = keep.drop("_n").join(large.select("_sha", "_size"), ["_sha", "_size"], "left_anti")
+        few = rows.join(F.broadcast(large.drop("_keeper")), ["_sha", "_size"], "left_anti").join(rest, ["_sha", "_size"], "left")
+        joined = rows.join(F.broadcast(large), ["_sha", "_size"]).unionByName(few)
     revisit = F.expr(f"_keeper IS NOT NULL AND _size >= {min_bytes} AND NOT (page_id <=> _keeper)")
     return joined.select("page_id", "url", "html", F.when(revisit, F.col("_keeper")).alias("refers_to"), revisit.alias("revisit"))
 
@@ -186,6 +255,12 @@ def read_archives(names: DataFrame, folder: str) -> DataFrame:
 
 
 def archive_digests(df: DataFrame, **options) -> DataFrame:
-    """Write the pages to archives in a new shared folder and read those back."""
+    """Write the pages to archives in a new shared folder and read those back.
+
+    page_id, payload_bytes, payload_digest, record_type, refers_to of every
+    row of ``df``.  A null html is an empty payload; rows that repeat the id of
+    a response are responses too; a null id is below all others; an empty table
+    gives no rows.  Columns other than id, url and html are not read.
+    """
     folder = shared_folder(df.sparkSession, "warc")
     return read_archives(written(write_archives(df, folder, **options), "warc-names"), folder)
