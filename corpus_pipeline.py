@@ -17,14 +17,21 @@ from siftline.llm.vocab import public
 
 #: Documents whose language scores less are rejected.
 LEAST_SCORE = 0.5
+#: So are those whose letters are so many times as unlikely as those of their language (its own prose: about 1).
+STRANGEST = 3.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those of no clear language."""
+    """Rejects documents without a letter, those of no clear language, and those like no language learned.
+
+    The score alone hardly rejects any, as it only weighs languages against
+    each other; so the likelihood of a letter is held against that in the
+    language's own documents.
+    """
     model = langid.train(docs, public("byte_bpe_multi_50k.tiktoken"))
-    lang, score = free_name(docs, "lang"), free_name(docs, "score")
-    predicted = langid.predict(docs, model, out=lang, score=score)
-    return predicted.filter((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
+    lang, score, strange = (free_name(docs, c) for c in ("lang", "score", "strange"))
+    predicted = langid.predict(docs, model, out=lang, score=score, strange=strange)
+    return predicted.filter((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE) & (F.col(strange) <= STRANGEST)).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

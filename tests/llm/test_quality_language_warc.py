@@ -77,22 +77,59 @@ def test_quality_equals_brute_force(spark, trusted):
     assert quality.judge(df.limit(0), labels).count() == 0
 
 
-def test_forward_sums_all_segmentations():
-    pieces = langid.Pieces.of([b"ab", b"abc", b"bc"])
-    rnd = np.random.default_rng(1)
-    p = np.vstack((rnd.random((len(pieces.keys), 2)), np.zeros(2)))
-    word = b"abcab"
-    of = lambda s: p[pieces.find(np.array([int.from_bytes(s, "little")], np.uint64), len(s))[0]]
-    total = np.zeros(2)
+def cuts_of(word):
+    """All segmentations of a word."""
     for cuts in itertools.product((0, 1), repeat=len(word) - 1):
-        at, product = 0, np.ones(2)
-        for i, c in enumerate((*cuts, 1), 1):
-            if c:
-                product = product * of(word[at:i])
-                at = i
-        total += product
+        ends = [i for i, c in enumerate((*cuts, 1), 1) if c]
+        yield [word[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def brute_fit(tokens, words, counts, rounds, smoothing):
+    """Expectation maximisation over listed segmentations; probabilities by token, one column a language."""
+    expected = {t: np.zeros(counts.shape[1]) for t in tokens}
+    for w, c in zip(words, counts, strict=True):
+        for i in range(len(w)):
+            for j in range(i + 1, len(w) + 1):
+                if w[i:j] in expected:
+                    expected[w[i:j]] += c
+    for last in range(rounds + 1):
+        total = sum(x + smoothing for x in expected.values())
+        p = {t: (x + smoothing) / total for t, x in expected.items()}
+        if last == rounds:
+            return p
+        expected = {t: np.zeros(counts.shape[1]) for t in tokens}
+        for w, c in zip(words, counts, strict=True):
+            ways = [(s, np.prod([p[t] for t in s], 0)) for s in cuts_of(w) if all(t in p for t in s)]
+            whole = sum(x for _, x in ways)
+            for s, x in ways:
+                for t in s:
+                    expected[t] += c * x / whole
+
+
+@pytest.mark.parametrize("long_", [256, 3])
+def test_fit_and_forward_sum_all_segmentations(monkeypatch, long_):
+    monkeypatch.setattr(langid, "LONG", long_)
+    tokens = [b"ab", b"abc", b"bc", b"cabcab", b"longer than a word", b"abcabcab"]
+    pieces = langid.Pieces.of(tokens)
+    everything = sorted({*tokens, *(bytes([b]) for b in range(256))})
+    assert pieces.size == len(everything)
+    words = [b"abcab", b"cab", b"aabbcc", b"bcabcabc", b"c", b"abcabcab"]
+    counts = np.array([[3.0, 1], [0, 2], [1, 1], [2, 5], [1, 0], [4, 0]])
+    want = brute_fit(everything, words, counts, 3, 0.05)
+    logs = langid.fit(pieces, words, counts)
+    assert np.allclose(np.exp(logs), np.array([want[t] for t in everything]))
+    model = langid.Model(["x", "y"], pieces, logs)
+    likely = [np.log(sum(np.prod([want[t] for t in s], 0) for s in cuts_of(w) if all(t in want for t in s))) for w in words]
+    assert np.allclose(model.log_likelihoods(words), likely)
+
+
+def test_runs_are_not_cut():
+    model = langid.Model(["x", "y"], langid.Pieces.of([b"ab", b"ba"]), np.log(np.random.default_rng(3).dirichlet(np.ones(258), 2).T))
+    word = b" " + b"ab" * 3000
+    by_place = langid.forward_long(langid.chain(model.pieces, word), model.logs)[-1]
     matrix = np.frombuffer(word, np.uint8).reshape(1, -1)
-    assert np.allclose(langid.forward(langid.lattice(pieces, matrix), 5, p)[5][0], total)
+    assert np.allclose(by_place, langid.forward(langid.lattice(model.pieces, matrix), 1, len(word), model.logs)[-1][0])
+    assert np.isfinite(by_place).all() and by_place.max() < -1000
 
 
 def test_languages_are_told_apart(spark):
