@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,9 +26,18 @@ CHROME = (
 CHROME_PATTERN = "(?i)(" + "|".join(CHROME) + ")"
 #: URL parts whose pages are never taken.
 EXCLUDED_HOSTS = ("reddit.com", "facebook.com", "twitter.com", "x.com/", "youtube.com", "tiktok.com", "instagram.com", "linkedin.com")
-#: Letters that lose their accent, and what they become.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+
+
+@cache
+def _folding() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition leaves of a character in ASCII: pairs of single characters, and longer ones."""
+    one, many = {}, {}
+    for point in range(0x80, sys.maxunicode + 1):
+        if not 0xD800 <= point < 0xE000:
+            left = unicodedata.normalize("NFKD", chr(point)).encode("ascii", "ignore").decode()
+            if left:
+                (one if len(left) == 1 else many)[chr(point)] = left
+    return "".join(one), "".join(one.values()), many
 
 
 def strip(text: Column) -> Column:
@@ -44,8 +57,14 @@ def strip_chrome(text: Column) -> Column:
 
 
 def plain(text: Column) -> Column:
-    """Lower case, accents taken off, other non-ASCII characters dropped (so straße is strae)."""
-    return F.lower(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), ACCENTED, PLAIN), r"[^\x00-\x7F]", ""))
+    """Lower case of what compatibility decomposition leaves in ASCII (so straße is strae, ﬁ is fi)."""
+    text = F.coalesce(text, F.lit(""))
+    source, target, many = _folding()
+    # ligatures and the like are rare: texts without one are translated character by character only
+    several = F.map_from_arrays(F.split(F.lit("\n".join(many)), "\n"), F.split(F.lit("\n".join(many.values())), "\n"))
+    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(several, c), c)), "")
+    wide = F.when(text.rlike("[" + "".join(many) + "]"), spelled).otherwise(text)
+    return F.lower(F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(wide, source, target), r"[^\x00-\x7F]", "")).otherwise(text))
 
 
 def tokens(text: Column) -> Column:
@@ -82,6 +101,12 @@ def shingles(words: Column, n: int = 5) -> Column:
     return F.when(F.size(words) >= n, F.array_distinct(grams)).when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
 
 
+def shingle_hashes(words: str, n: int = 5) -> Column:
+    """The windows of n words of an array column (fewer words: one, none: none) as structs of hash and place, equal hashes once."""
+    hashes = f"CASE WHEN size({words}) >= {n} THEN transform(sequence(0, size({words}) - {n}), i -> struct(xxhash64(array_join(slice({words}, i + 1, {n}), ' ')) AS h, i AS i)) WHEN size({words}) > 0 THEN array(struct(xxhash64(array_join({words}, ' ')) AS h, 0 AS i)) ELSE array() END"
+    return F.expr(hashes)
+
+
 def excluded(url: Column) -> Column:
     """Whether the lower-cased URL contains an excluded part (a part, not a host: netflix.com/ has x.com/)."""
     low = F.lower(F.coalesce(url, F.lit("")))

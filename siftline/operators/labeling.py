@@ -48,7 +48,8 @@ def call(labeler: Labeler, query: str, units: list[str], sleep: Callable[[float]
         except Retry as e:
             if attempt == RETRIES:
                 return f"error:{e.code}", Answer(None)
-            sleep(e.wait if e.wait is not None else min(2**attempt, LONGEST_WAIT))
+            # a wait of 0 says nothing; the first wait is of two seconds
+            sleep(e.wait or min(2 ** (attempt + 1), LONGEST_WAIT))
         except Exception:  # noqa: BLE001  an unknown failure is data, it must not end the job
             return "error:unhandled", Answer(None)
     raise AssertionError

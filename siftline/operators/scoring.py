@@ -4,23 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.ids import ratio, render
-from siftline.functions.text import tokens
+from siftline.functions.text import sentences, tokens
 from siftline.operators.windows import select_under_budget
 
 
+#: Characters of a stretch of a document that is joined by itself.
+STRETCH = 1 << 16
+
+
 def interval_join(points: DataFrame, spans: DataFrame, key: str) -> DataFrame:
     """Points (key, start, stop) with the unit of the same key whose span holds their midpoint.
 
-    Spans are disjoint; points in a gap are dropped.  Joined on the document,
-    so a document's tokens meet that document's units alone.
+    Spans are disjoint; points in a gap are dropped.  Points and starts of
+    spans are put in one order, and the last span begun before a point is the
+    only one that can hold it; so a document costs a sort, not a product of
+    its tokens and units.  Documents are dealt out in stretches of STRETCH
+    characters; a span that goes on into a stretch is begun there again.
     """
-    middle = F.floor((F.col("p.start") + F.col("p.stop")) / 2)
-    on = (F.col(f"p.{key}") == F.col(f"s.{key}")) & (middle >= F.col("s.unit_start")) & (middle < F.col("s.unit_end"))
-    return points.alias("p").join(spans.alias("s"), on).select(*(F.col(f"p.{c}") for c in points.columns), "s.unit_id")
+    middle = F.floor((F.col("start") + F.col("stop")) / 2)
+    first, last = F.floor(F.col("unit_start") / STRETCH), F.floor(F.greatest(F.col("unit_end") - 1, F.col("unit_start")) / STRETCH)
+    begun = spans.filter("unit_start < unit_end").select(F.col(key).alias("__k"), F.explode(F.sequence(first, last)).alias("__part"), F.struct("unit_id", "unit_end").alias("__span"), F.col("unit_start").alias("__at"))
+    rows = points.select(F.col(key).alias("__k"), F.floor(middle / STRETCH).alias("__part"), middle.alias("__at"), F.struct(*points.columns).alias("__row"))
+    both = begun.unionByName(rows, allowMissingColumns=True)
+    # of a start and a point at one place the start is first
+    order = Window.partitionBy("__k", "__part").orderBy("__at", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    held = both.withColumn("__span", F.last("__span", ignorenulls=True).over(order))
+    return held.filter("__row IS NOT NULL AND __at < __span.unit_end").select("__row.*", "__span.unit_id")
 
 
 def pool(units: DataFrame, scored: DataFrame, keys: list[str], token_threshold: float = 0.5, sentence_threshold: float = 0.5) -> DataFrame:
@@ -49,8 +62,11 @@ def compress(df: DataFrame, *, query: str = "query", units: str = "units", thres
     """Every row with unit scores, kept ids, the snippet and the compression ratio.
 
     With a budget units are taken by score while they fit; else those at the
-    threshold or above.  Rows without a query or units keep nothing.
+    threshold or above.  Rows without a query or units keep nothing.  Where
+    ``units`` is a column of strings, its texts are cut into sentences first.
     """
+    if dict(df.dtypes)[units] == "string":
+        df = df.withColumn(units, sentences(F.col(units)))
     scores = F.transform(F.coalesce(units, F.array().cast("array<string>")), lambda u: scorer(F.coalesce(F.col(query), F.lit("")), u))
     df = df.withColumn("unit_scores", scores)
     if budget is None:

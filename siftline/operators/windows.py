@@ -1,9 +1,23 @@
-"""Spans, windows and budgets: folds over ordered units."""
+"""Spans, windows and budgets of units.
+
+The folds over a row's units run in Arrow functions that get numbers alone,
+never texts; a fold in SQL would copy its result at every step.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import sys
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+# what runs in workers goes along by value: they need not have this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def body(units: Column) -> Column:
@@ -11,32 +25,53 @@ def body(units: Column) -> Column:
     return F.array_join(units, " ")
 
 
+def numbers(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column (null: empty, null elements 0) and the n + 1 offsets into them."""
+    sizes = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))
+    values = np.asarray(pa.compute.fill_null(lists.flatten(), 0))
+    return values, np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def before(lengths: pa.Array) -> pa.Array:
+    """The sum of what is in front of each element."""
+    values, offsets = numbers(lengths)
+    sums = np.concatenate(([0], np.cumsum(values, dtype=np.int64)))
+    own = sums[:-1] - np.repeat(sums[offsets[:-1]], np.diff(offsets))
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(own, pa.int64()))
+
+
 def spans(units: Column) -> Column:
     """Half-open character spans of the units within their body."""
-    return F.aggregate(
-        units,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
-        lambda s, u: F.struct((s["at"] + F.length(u) + 1).alias("at"), F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), (s["at"] + F.length(u)).alias("end")))).alias("out")),
-        lambda s: s["out"],
-    )
+    starts = before(F.transform(units, lambda u: F.length(u) + 1))
+    zipped = F.arrays_zip(starts.alias("at"), units.alias("u"))
+    return F.transform(zipped, lambda x: F.struct(x["at"].cast("int").alias("start"), (x["at"] + F.length(x["u"])).cast("int").alias("end")))
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _windows(lengths: pa.Array, capacity: pa.Array) -> pa.Array:
+    values, offsets = numbers(lengths)
+    out, room = np.zeros(len(values), np.int32), np.asarray(capacity)
+    for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        sums, at, window = np.cumsum(values[a:b], dtype=np.int64), 0, 0
+        while at < b - a:
+            used = int(sums[at - 1]) if at else 0
+            # as many as fit, one at least
+            stop = max(at + 1, int(np.searchsorted(sums, used + room[k], "right")))
+            out[a + at : a + stop] = window
+            at, window = stop, window + 1
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))
 
 
 def pack_windows(lengths: Column, capacity: int | Column) -> Column:
     """The window number of every unit, greedily: a window closes when the next unit doesn't fit.
 
-    A unit above the capacity is alone in its window.  The capacity must be positive.
+    A unit above the capacity is alone in its window.  The capacity must be
+    positive; lengths aren't negative, a null one counts as 0.
     """
     if isinstance(capacity, int) and capacity <= 0:
         raise ValueError("the capacity must be positive")
-    capacity = F.lit(capacity) if isinstance(capacity, int) else capacity
-
-    def step(s, n):
-        opens = (s["held"] > 0) & (s["used"] + n > capacity)
-        w = F.when(opens, s["w"] + 1).otherwise(s["w"])
-        return F.struct(w.alias("w"), F.when(opens, n).otherwise(s["used"] + n).alias("used"), F.lit(1).alias("held"), F.concat(s["out"], F.array(w)).alias("out"))
-
-    start = F.struct(F.lit(0).alias("w"), F.lit(0).alias("used"), F.lit(0).alias("held"), F.array().cast("array<int>").alias("out"))
-    return F.aggregate(lengths, start, step, lambda s: s["out"])
+    return _windows(lengths, (F.lit(capacity) if isinstance(capacity, int) else capacity).cast("long"))
 
 
 def window_capacity(max_length: int, query_tokens: Column, specials: int = 3, margin: int = 8) -> Column:
@@ -44,21 +79,28 @@ def window_capacity(max_length: int, query_tokens: Column, specials: int = 3, ma
     return F.greatest(F.lit(64), F.lit(max_length - specials - margin) - query_tokens)
 
 
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _taken(scores: pa.Array, costs: pa.Array, budget: pa.Array, least: pa.Array) -> pa.Array:
+    values, offsets = numbers(scores)
+    prices, at = numbers(costs)
+    room, floor, out = np.asarray(budget), np.asarray(least), []
+    for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        own, price, left, kept = values[a:b], prices[at[k] : at[k + 1]].tolist(), room[k], []
+        for i in np.argsort(-own, kind="stable")[: int((own >= floor[k]).sum())].tolist():
+            if price[i] <= left:
+                left -= price[i]
+                kept.append(i)
+        out.append(sorted(kept))
+    return pa.array(out, pa.list_(pa.int32()))
+
+
 def select_under_budget(scores: Column, costs: Column, budget: int | Column, least: float = 0.1) -> Column:
     """Ids of units taken by descending score while they fit; those that don't fit are passed over.
 
     Ties go to the earlier unit; scores under ``least`` are never taken; ids come back in document order.
     """
     budget = F.lit(budget) if isinstance(budget, int) else budget
-    ranked = F.array_sort(F.transform(scores, lambda s, i: F.struct((-s).alias("k"), i.cast("int").alias("i"))))
-    kept = F.filter(ranked, lambda x: -x["k"] >= least)
-
-    def step(s, x):
-        fits = s["used"] + F.get(costs, x["i"]) <= budget
-        return F.struct(F.when(fits, s["used"] + F.get(costs, x["i"])).otherwise(s["used"]).alias("used"), F.when(fits, F.concat(s["out"], F.array(x["i"]))).otherwise(s["out"]).alias("out"))
-
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("out"))
-    return F.array_sort(F.aggregate(kept, start, step, lambda s: s["out"]))
+    return _taken(scores, costs, budget.cast("long"), F.lit(float(least)))
 
 
 def split_words(text: Column, most: int = 250, cut: int = 100) -> Column:
@@ -84,3 +126,83 @@ def length_buckets(df: DataFrame, length: str, capacity: int, order: list[str])
     Rows of a bucket can be batched by tasks on their own; nothing is gathered in one place.
     """
     return df.withColumn("bucket", F.floor(F.log2(F.greatest(F.col(length), F.lit(1)))).cast("int")).withColumn("rows_per_batch", F.greatest(F.lit(1), F.floor(capacity / F.pow(2, F.col("bucket") + 1))).cast("int"))
+
+
+def filled_batches(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """The batch of each of some ascending lengths: a row joins while longest * rows stays in the capacity, the first always."""
+    out, at, batch = np.zeros(len(lengths), np.int64), 0, 0
+    while at < len(lengths):
+        ahead = lengths[at:] * np.arange(1, len(lengths) - at + 1)
+        size = max(1, int(np.searchsorted(ahead, capacity, "right")))
+        out[at : at + size] = batch
+        at, batch = at + size, batch + 1
+    return out
+
+
+def fill_batches(df: DataFrame, length: str, capacity: int, key: str, *, parts: int | None = None, block: int = 4096) -> DataFrame:
+    """Rows with (part, batch), sorted by length and filled greedily to ``capacity`` = longest * rows.
+
+    Lengths are dealt out by ranges; within a task rows are filled in blocks,
+    so a batch never crosses a block.  With one part and one block that is the
+    exact greedy fill.  Ties are in the order of ``key``; a null length counts as 0.
+    """
+    rows = df.withColumn("__n", F.coalesce(F.col(length).cast("long"), F.lit(0)))
+    ranged = (rows.repartitionByRange(parts, "__n", key) if parts else rows.repartitionByRange("__n", key)).sortWithinPartitions("__n", key)
+    names = df.columns
+    schema = df.withColumns({"part": F.lit(0), "batch": F.lit(0).cast("long")}).schema
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, first, held = TaskContext.get().partitionId(), 0, []
+
+        def close():
+            nonlocal first, held
+            table = pa.Table.from_batches(held)
+            number = filled_batches(table.column("__n").to_numpy(), capacity) + first
+            first, held = int(number[-1]) + 1, []
+            columns = [*(table.column(c) for c in names), pa.array(np.full(len(number), part, np.int32)), pa.array(number)]
+            yield from pa.table(dict(zip([*names, "part", "batch"], columns, strict=True))).to_batches()
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, block):
+                piece = whole.slice(at, block)
+                if held and sum(h.num_rows for h in held) + piece.num_rows > block:
+                    yield from close()
+                held.append(piece)
+        if held:
+            yield from close()
+
+    return ranged.mapInArrow(run, schema)
+
+
+def sampler_batches(df: DataFrame, length: str, key: str, *, batch_size: int, bucket_size: int = 50, seed: int = 42, epoch: int = 0, replicas: int = 1) -> DataFrame:
+    """Rows with (batch, replica, step): shuffled by hash, cut into mega-batches, sorted by length there, cut into batches.
+
+    Batches are shuffled by hash again and dealt to replicas in turn.  A row's
+    mega-batch is a hash modulo their number, so no order of all rows is made;
+    mega-batches are equal on average only.  No row is dropped: the last steps
+    of some replicas may be missing.
+    """
+    n = df.count()
+    megas = max(1, -(-n // (bucket_size * batch_size)))
+    rows = df.withColumn("__m", F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key)), F.lit(megas)))
+    by = Window.partitionBy("__m").orderBy(length, key)
+    rows = rows.withColumn("__b", F.floor((F.row_number().over(by) - 1) / batch_size))
+    order = rows.select("__m", "__b").distinct().withColumn("__h", F.xxhash64(F.lit(seed), F.lit(epoch), "__m", "__b"))
+    # as many rows as there are batches, numbered without their members
+    order = order.withColumn("batch", F.row_number().over(Window.orderBy("__h", "__m", "__b")) - 1).drop("__h")
+    out = rows.join(order, ["__m", "__b"]).drop("__m", "__b")
+    return out.withColumns({"replica": (F.col("batch") % replicas).cast("int"), "step": F.floor(F.col("batch") / replicas).cast("int")})
+
+
+def padded(values: Column, to: Column, fill: int) -> Column:
+    """An array lengthened to ``to`` elements by ``fill``."""
+    return F.concat(values, F.array_repeat(F.lit(fill), F.greatest(F.lit(0), to - F.size(values)).cast("int")))
+
+
+def collate(df: DataFrame, batch: list[str], fills: dict[str, int]) -> DataFrame:
+    """Array columns padded to the longest of their batch, each with its own fill (ids 0, labels -100, sentence ids -1)."""
+    longest = df.groupBy(*batch).agg(*(F.max(F.size(c)).alias(f"__{c}") for c in fills))
+    joined = df.join(longest, batch)
+    return joined.withColumns({c: padded(F.col(c), F.col(f"__{c}"), v) for c, v in fills.items()}).select(*df.columns)

