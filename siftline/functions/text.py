@@ -40,6 +40,14 @@ def _folding() -> tuple[str, str, dict[str, str]]:
     return "".join(one), "".join(one.values()), many
 
 
+@cache
+def _ranges() -> str:
+    """A pattern of few ranges that hold all characters of longer ASCII (and others): a class of single ones is slow."""
+    points = sorted(map(ord, _folding()[2]))
+    cuts = [0, *(i for i in range(1, len(points)) if points[i] - points[i - 1] > 8), len(points)]
+    return "[" + "".join(f"\\x{{{points[a]:x}}}-\\x{{{points[b - 1]:x}}}" for a, b in zip(cuts, cuts[1:], strict=False)) + "]"
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end (trim alone takes spaces only)."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -63,7 +71,7 @@ def plain(text: Column) -> Column:
     # ligatures and the like are rare: texts without one are translated character by character only
     several = F.map_from_arrays(F.split(F.lit("\n".join(many)), "\n"), F.split(F.lit("\n".join(many.values())), "\n"))
     spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(several, c), c)), "")
-    wide = F.when(text.rlike("[" + "".join(many) + "]"), spelled).otherwise(text)
+    wide = F.when(text.rlike(_ranges()), spelled).otherwise(text)
     return F.lower(F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(wide, source, target), r"[^\x00-\x7F]", "")).otherwise(text))
 
 
@@ -101,10 +109,11 @@ def shingles(words: Column, n: int = 5) -> Column:
     return F.when(F.size(words) >= n, F.array_distinct(grams)).when(F.size(words) > 0, F.array(F.array_join(words, " "))).otherwise(F.array().cast("array<string>"))
 
 
-def shingle_hashes(words: str, n: int = 5) -> Column:
-    """The windows of n words of an array column (fewer words: one, none: none) as structs of hash and place, equal hashes once."""
-    hashes = f"CASE WHEN size({words}) >= {n} THEN transform(sequence(0, size({words}) - {n}), i -> struct(xxhash64(array_join(slice({words}, i + 1, {n}), ' ')) AS h, i AS i)) WHEN size({words}) > 0 THEN array(struct(xxhash64(array_join({words}, ' ')) AS h, 0 AS i)) ELSE array() END"
-    return F.expr(hashes)
+def shingle_hashes(hashes: str, n: int = 5) -> Column:
+    """The windows of n words (fewer words: one, none: none) as structs of hash and place, from a column of the words' hashes."""
+    window = ", ".join(f"{hashes}[i + {k}]" for k in range(n))
+    short = f"aggregate({hashes}, bigint(size({hashes})), (s, x) -> xxhash64(s, x))"
+    return F.expr(f"CASE WHEN size({hashes}) >= {n} THEN transform(sequence(0, size({hashes}) - {n}), i -> struct(xxhash64({window}) AS h, i AS i)) WHEN size({hashes}) > 0 THEN array(struct({short} AS h, 0 AS i)) ELSE array() END")
 
 
 def excluded(url: Column) -> Column:

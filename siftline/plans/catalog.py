@@ -411,8 +411,8 @@ bt AS (SELECT item_id, {tokens_sql("text")} AS t FROM benchmark), bs AS (SELECT
 x AS (SELECT item_id, unnest(s) AS k FROM bs), y AS (SELECT doc_id, unit_id, unnest(s) AS k FROM g) SELECT item_id AS frag_id, doc_id, unit_id, count(*) AS n FROM x JOIN y ON x.k = y.k GROUP BY ALL""")
 def shingle_overlap(spark, sf):
     """Hashes of the benchmark's shingles find the units; shingles of equal hash are then compared as strings."""
-    words = lambda df, c, *keys: df.select(*keys, text.tokens(F.col(c)).alias("words"))
-    hashed = lambda df, *keys: df.withColumn("x", F.explode(text.shingle_hashes("words"))).select(*keys, "words", F.col("x.h").alias("h"), F.col("x.i").alias("i"))
+    words = lambda df, c, *keys: df.select(*keys, text.tokens(F.col(c)).alias("words")).withColumn("hs", F.transform("words", lambda w: F.xxhash64(w)))
+    hashed = lambda df, *keys: df.withColumn("x", F.explode(text.shingle_hashes("hs"))).select(*keys, "words", F.col("x.h").alias("h"), F.col("x.i").alias("i"))
     gram = F.expr("array_join(slice(words, i + 1, 5), ' ')")
     f = hashed(words(table(spark, sf, "benchmark").withColumnRenamed("item_id", "frag_id"), "text", "frag_id"), "frag_id").select("frag_id", "h", gram.alias("f")).distinct()
     u = hashed(words(exploded(spark, sf), "unit", "doc_id", "unit_id"), "doc_id", "unit_id")
