@@ -60,6 +60,9 @@ class JsonCounter:
     """Token counts by a tokenizers .json file; whole texts, lengths only."""
 
     def __init__(self, path: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
