@@ -40,7 +40,7 @@ PERCENT, WIDTH = 75, 5
 #: Least and most bits of a bitmap, bits of a sketch counter's number, documents of a tile, and of a band.
 BITMAP, WIDEST, SKETCH, TILE, BAND = 1024, 1 << 16, 22, 4096, 256
 #: Classes that are broadcast at most, ids that are, and keys that a task remembers.
-CLASSES, IDS, SEEN = 100_000, 2_000_000, 1_000_000
+CLASSES, IDS, SEEN = 100_000, 2_000_000, 200_000
 
 
 def widths(n: np.ndarray) -> np.ndarray:

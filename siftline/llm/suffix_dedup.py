@@ -30,7 +30,7 @@ from siftline.llm.suffix_sort import repeated
 
 LENGTH, GRAM = 200, 64
 #: A document is looked at in stretches of so many windows; about so many bytes of fragments are ordered at a time.
-STRETCH, SORTED = 4 << 20, 4 << 20
+STRETCH, SORTED = 1 << 20, 2 << 20
 #: Fragments of an anchor above which they are dealt out further, by so many bytes next to it.
 SPLIT, NEXT = 1000, 48
 _INDEX = 24
@@ -63,7 +63,7 @@ def overlapping_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray)
     per = -(-size // 8)
     out = np.empty(len(starts), np.uint64)
     words = np.ndarray((max(0, len(data) - 7),), "<u8", np.ascontiguousarray(data), strides=(1,))
-    for a, b in slices(per.tolist(), 1 << 20):
+    for a, b in slices(per.tolist(), 1 << 17):
         number = np.arange(int(per[a:b].sum())) - np.repeat(np.cumsum(per[a:b]) - per[a:b], per[a:b])
         # the last word ends with the span
         step = np.minimum(8 * number, np.repeat(size[a:b] - 8, per[a:b]))
@@ -105,6 +105,7 @@ def fragments(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: in
     left = np.minimum.accumulate(tiles, 1).ravel()
     right = np.minimum.accumulate(tiles[:, ::-1], 1)[:, ::-1].ravel()
     least = np.minimum(right[: n - length + 1], left[width - 1 : width - 1 + n - length + 1])
+    del ranked, padded, tiles, left, right
     doc = np.repeat(np.arange(len(begins)), count)
     window = np.repeat(begins - (np.cumsum(count) - count), count) + np.arange(total)
     anchor = (least[window] & low).astype(np.int64)
