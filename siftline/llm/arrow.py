@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
@@ -72,7 +73,24 @@ def text_slices(batches: Iterable[pa.RecordBatch], text_col: str) -> Iterator[tu
             yield part, *utf8_buffer(part.column(text_col))
 
 
+def trim() -> None:
+    """Give memory that is free back to the machine; a worker that is used again would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library, which has no such call
+
+
 def map_arrow(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow after making the package importable by the workers."""
+    """mapInArrow after making the package importable by the workers; free memory is given back before and after a task."""
     ship(df.sparkSession)
-    return df.mapInArrow(make, schema)
+
+    def run(batches):
+        trim()
+        try:
+            yield from make(batches)
+        finally:
+            trim()
+
+    return df.mapInArrow(run, schema)

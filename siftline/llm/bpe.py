@@ -86,7 +86,7 @@ class PairTable:
 class ByteBpe:
     """Encodes byte strings by the ranks of a .tiktoken file, and decodes ids."""
 
-    def __init__(self, path: str, pattern: str, capacity: int = 1_200_000):
+    def __init__(self, path: str, pattern: str, capacity: int = 800_000):
         import regex
 
         self.ranks = read_ranks(path)

@@ -30,7 +30,7 @@ from siftline.llm.suffix_sort import repeated
 
 LENGTH, GRAM = 200, 64
 #: A document is looked at in stretches of so many windows; about so many bytes of fragments are ordered at a time.
-STRETCH, SORTED = 1 << 20, 2 << 20
+STRETCH, SORTED = 2 << 20, 2 << 20
 #: Fragments of an anchor above which they are dealt out further, by so many bytes next to it.
 SPLIT, NEXT = 1000, 48
 _INDEX = 24

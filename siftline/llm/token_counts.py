@@ -29,7 +29,7 @@ class PieceCounter:
     checked here, and whole texts are counted where they don't hold.
     """
 
-    def __init__(self, path: str, capacity: int = 1_200_000):
+    def __init__(self, path: str, capacity: int = 800_000):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)

@@ -51,7 +51,7 @@ class TokenizerIds:
     once; cuts are only made where its pre-tokenizer cuts as well.
     """
 
-    def __init__(self, path: str, capacity: int = 1_200_000):
+    def __init__(self, path: str, capacity: int = 800_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
