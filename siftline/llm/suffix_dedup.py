@@ -30,7 +30,7 @@ from siftline.llm.suffix_sort import repeated
 
 LENGTH, GRAM = 200, 64
 #: A document is looked at in stretches of so many windows; about so many bytes of fragments are ordered at a time.
-STRETCH, SORTED = 2 << 20, 2 << 20
+STRETCH, SORTED = 1 << 19, 2 << 20
 #: Fragments of an anchor above which they are dealt out further, by so many bytes next to it.
 SPLIT, NEXT = 1000, 48
 _INDEX = 24
@@ -119,7 +119,7 @@ def fragments(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, length: in
 def stretches(column: pa.Array, length: int):
     """(buffer, document, base, begin, end) slices of a text column; long documents in overlapping stretches."""
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)).tolist()
-    for start, stop in slices(sizes):
+    for start, stop in slices(sizes, STRETCH // 4):
         data, offsets = utf8_buffer(column.slice(start, stop - start))
         if len(data) < STRETCH + length:
             yield data, np.arange(start, stop), np.zeros(stop - start, np.int64), offsets[:-1], offsets[1:]
