@@ -9,7 +9,7 @@ from itertools import chain
 
 import numpy as np
 
-from siftline.llm.segments import CutTable, Memo
+from siftline.llm.segments import CutTable, run_starts
 
 
 def public(name: str) -> str:
@@ -48,10 +48,13 @@ class TokenizerIds:
     """Ids of whole texts by a tokenizers .json file, as unsigned integers.
 
     The library itself encodes each distinct run of letters or punctuation
-    once; cuts are only made where its pre-tokenizer cuts as well.
+    once while it is remembered; cuts are only made where its pre-tokenizer
+    cuts as well.  That holds for byte-level ones whose added tokens start
+    with "<" and have no white space; any other encodes whole texts.
     """
 
-    def __init__(self, path: str, capacity: int = 800_000):
+    def __init__(self, path: str, capacity: int = 1_000_000):
+        import json
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -62,21 +65,25 @@ class TokenizerIds:
         self.library.no_padding()
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.runs = Memo(self._encode, capacity // 4)
-        self.table = CutTable(self._pieces, self.dtype, capacity)
+        parts = json.loads(self.library.to_str())
+        before = parts["pre_tokenizer"] or {}
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+        added = all(x["content"].startswith("<") and not re.search(r"\s", x["content"]) and not (x["lstrip"] or x["rstrip"] or x["single_word"]) for x in parts["added_tokens"])
+        self.whole = not (plain and added and parts["normalizer"] is None)
+        self.table = CutTable(self._encode, self.dtype, capacity, starts=run_starts)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
-
-    def _pieces(self, texts: list[str], _first: list[bool]) -> list[np.ndarray]:
-        cuts = list(map(runs_of, texts))
-        get = self.runs.need(set(chain.from_iterable(cuts))).__getitem__
-        return [np.frombuffer(get(c[0]) if len(c) == 1 else b"".join(map(get, c)), self.dtype) for c in cuts]
+    def _encode(self, texts: list[str], _first: list[bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), self.dtype), np.fromiter(map(len, found), np.int64, len(found))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of each document of a UTF-8 buffer."""
-        ids, bounds = self.table(data, offsets)
+        if self.whole:
+            raw, at = data.tobytes(), offsets.tolist()
+            ids, lengths = self._encode([raw[a:b].decode() for a, b in zip(at, at[1:], strict=False)])
+            bounds = np.concatenate(([0], np.cumsum(lengths)))
+        else:
+            ids, bounds = self.table(data, offsets)
         bounds = bounds.tolist()
         return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 

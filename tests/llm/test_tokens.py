@@ -7,7 +7,7 @@ import zlib
 import pyarrow as pa
 import pytest
 
-from siftline.llm import bpe, packing, token_counts, token_files, vocab
+from siftline.llm import bpe, packing, segments, token_counts, token_files, vocab
 from siftline.llm.arrow import utf8_buffer
 
 PIECES = ["a", "b", " ", "  ", "\n", "\t", "'s", "'", "é", "ﬁ", "<|endoftext|>", "<", "1", "9", ".", ",", "▁", "　", "\xa0", "​", "\x85", "漢", "字", "ß", "the", " The", "\x00", "🙂", "é", "\x1c", "\r\n", "'ll", "<s>"]
@@ -35,6 +35,30 @@ def test_ids_equal_the_library(tokenizer):
     assert [x.tolist() for x in found] == [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_runs_are_cut_where_the_library_cuts(tokenizer):
+    rnd = random.Random(9)
+    parts = ["a", "Ab", "é", "×", "÷", "Àÿ", "ž", "'", "'s", "'ll", "<", "<|endoftext|>", "|>", ".", ",,", "7", "12", "\n", "\n\n", "\r\n", " ", "  ", "\t", "$", "漢", "\xa0"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 12))) for _ in range(6000)]
+    found = vocab.TokenizerIds(vocab.public("byte_bpe_50k.json"), capacity=300)(*buffer(texts))
+    assert [x.tolist() for x in found] == [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    data, offsets = buffer(["one,two\nthree 4.5six's <|endoftext|>x,y"])
+    starts, first = segments.run_starts(data, offsets)
+    pieces = [data[a:b].tobytes().decode() for a, b in zip(starts, [*starts[1:], len(data)], strict=True)]
+    assert pieces == ["one", ",", "two", "\n", "three", " 4.5", "six's", " <|endoftext|>x,y"] and first.tolist() == [0]
+
+
+def test_another_pre_tokenizer_encodes_whole_texts(tokenizer, tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    other = Tokenizer.from_str(tokenizer.to_str())
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True, use_regex=False)
+    other.save(str(tmp_path / "other.json"))
+    texts = fuzz(300, 4) + ["one,two three.four"]
+    ids = vocab.TokenizerIds(str(tmp_path / "other.json"))
+    assert ids.whole and not vocab.TokenizerIds(vocab.public("byte_bpe_50k.json")).whole
+    assert [x.tolist() for x in ids(*buffer(texts))] == [x.ids for x in other.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_piece_counts_equal_the_library():
     import sentencepiece
 
