@@ -92,7 +92,7 @@ INTENTS_SQL = "['definitional', 'procedural', 'comparative', 'debugging', 'best-
 
 
 @query(f"""WITH x AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Comparative' WHEN 1 THEN 'of no kind' WHEN 2 THEN ' DEBUGGING ' END AS intent FROM documents)
-SELECT doc_id, CASE WHEN list_contains({INTENTS_SQL}, lower(trim(intent))) THEN lower(trim(intent)) ELSE 'procedural' END AS intent, array_to_string(list_filter({INTENTS_SQL}, lambda i: i <> CASE WHEN list_contains({INTENTS_SQL}, lower(trim(intent))) THEN lower(trim(intent)) ELSE 'procedural' END), ',') AS allowed FROM x""")
+SELECT doc_id, CASE WHEN list_contains({INTENTS_SQL}, lower(intent)) THEN lower(intent) ELSE 'procedural' END AS intent, array_to_string(list_filter({INTENTS_SQL}, lambda i: i <> CASE WHEN list_contains({INTENTS_SQL}, lower(intent)) THEN lower(intent) ELSE 'procedural' END), ',') AS allowed FROM x""")
 def intents(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", F.expr("CASE doc_id % 4 WHEN 0 THEN 'Comparative' WHEN 1 THEN 'of no kind' WHEN 2 THEN ' DEBUGGING ' END").alias("intent"))
     rows = rows.withColumn("intent", dataset.normal_intent(F.col("intent")))
@@ -109,17 +109,33 @@ def fresh_queries(spark, sf):
     return dataset.fresh_queries(asked.filter("conv_id % 10 != 0"), asked.filter("conv_id % 10 = 0"), ["conv_id", "turn"], (3, 40)).select("conv_id", "turn")
 
 
-@query(f"""WITH d AS (SELECT doc_id, substr(text, 1, 6000) AS body, CASE doc_id % 3 WHEN 0 THEN 'comparative' ELSE 'debugging' END AS had FROM documents WHERE text <> ''),
-w AS (SELECT *, {WORDS_SQL.format("body")} AS ws FROM d), l AS (SELECT doc_id, unnest([{{'k': 1, 'intent': 'comparative', 'query': array_to_string(ws[1:6], ' ')}}, {{'k': 2, 'intent': 'definitional', 'query': array_to_string(ws[2:9], ' ')}}, {{'k': 3, 'intent': 'debugging', 'query': array_to_string(ws[3:4], ' ')}}, {{'k': 4, 'intent': 'enumeration', 'query': array_to_string(ws[3:12], ' ')}}]) AS x, had FROM w),
-c AS (SELECT doc_id, x.k AS k, x.intent AS intent, x.query AS query FROM l WHERE x.intent <> had AND len({WORDS_SQL.format("x.query")}) BETWEEN 3 AND 20), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS n FROM c)
-SELECT lower(query) AS query, count(DISTINCT lower(query)) AS n FROM f WHERE n <= 2 GROUP BY 1""")
+@query(f"""WITH d AS (SELECT doc_id AS ord, doc_id % 50 AS query_id, source AS doc_id, lang AS topic, text AS body, CASE WHEN doc_id % 13 = 0 THEN '' ELSE 'about ' || lang END AS query, CASE WHEN doc_id % 11 = 0 THEN 'error:x' ELSE 'ok' END AS status,
+  CASE doc_id % 5 WHEN 0 THEN 'Comparative' WHEN 1 THEN 'of no kind' WHEN 2 THEN ' DEBUGGING ' WHEN 3 THEN 'debugging' END AS intent FROM documents),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY ord) AS n FROM d WHERE status = 'ok' AND body <> '' AND query <> ''),
+h AS (SELECT *, CASE WHEN lower(intent) IN ('definitional', 'procedural', 'comparative', 'debugging', 'best-practice', 'enumeration') THEN lower(intent) ELSE 'procedural' END AS had,
+  {WORDS_SQL.format("substr(body, 1, 6000)")} AS ws FROM k WHERE n = 1 AND NOT (query_id % 5 = 0 AND doc_id LIKE '%1')),
+l AS (SELECT *, unnest([{{'k': 1, 'intent': 'comparative', 'query': array_to_string(ws[1:6], ' ')}}, {{'k': 2, 'intent': 'definitional', 'query': array_to_string(ws[2:9], ' ')}}, {{'k': 3, 'intent': 'debugging', 'query': array_to_string(ws[3:4], ' ')}},
+  {{'k': 4, 'intent': 'enumeration', 'query': array_to_string(ws[1:25], ' ')}}, {{'k': 5, 'intent': 'debugging', 'query': array_to_string(ws[3:12], ' ')}}, {{'k': 6, 'intent': 'comparative', 'query': array_to_string(ws[4:9], ' ')}}, {{'k': 7, 'intent': 'procedural', 'query': array_to_string(ws[5:9], ' ')}}]) AS x FROM h),
+q AS (SELECT query_id, doc_id, topic, x.k AS k, x.intent AS intent, regexp_replace(regexp_replace(trim(x.query, chr(32) || chr(9)), '^"+|"+$', '', 'g'), '^''+|''+$', '', 'g') AS query, had FROM l),
+c AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id, intent ORDER BY k) AS n FROM q WHERE intent <> had AND len({WORDS_SQL.format("query")}) BETWEEN 3 AND 20),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY k) AS m FROM c WHERE n = 1)
+SELECT 'syn_pd_' || lpad(CAST(CAST('0x' || substr(sha1(query_id || chr(0) || doc_id || chr(0) || intent || chr(0) || query), 1, 15) AS BIGINT) % 1000000000000 AS VARCHAR), 12, '0') AS qid,
+  query, topic, 'synthesized from doc' AS persona, intent, CAST(query_id AS VARCHAR) AS source_query_id, doc_id AS source_doc_id FROM f WHERE m <= 2""")
 def synth_queries(spark, sf):
-    """The generator is a rule: lines made of the first words of the body."""
+    """The generator is a rule: lines made of the first words of the body, some of them of no use."""
     body = lambda p: F.regexp_replace(p, r"(?s)^.*?\nDOCUMENT:\n", "")
     some = lambda p, a, b: F.array_join(F.slice(F.filter(F.split(body(p), r"\s+"), lambda w: w != ""), a, b - a + 1), " ")
-    generate = lambda p: F.concat(F.lit("- comparative ||| "), some(p, 1, 6), F.lit("\nDefinitional ||| "), some(p, 2, 9), F.lit("\n2. debugging ||| "), some(p, 3, 4), F.lit("\nno line\nof-no-kind ||| a b c d\nenumeration|||"), some(p, 3, 12))
-    rows = table(spark, sf, "documents").filter("text != ''").select("doc_id", F.col("text").alias("body"), F.col("doc_id").alias("query_id"), F.expr("array(CASE doc_id % 3 WHEN 0 THEN 'comparative' ELSE 'debugging' END)").alias("intents"))
-    return dataset.synth_queries(rows, generate, n=2).select(F.lower("query").alias("query"), F.lit(1).cast("long").alias("n"))
+
+    def generate(p):
+        lines = (("- Comparative ||| ", 1, 6), ("\nDefinitional ||| '", 2, 9), ("'\n2. debugging |||", 3, 4), ("\nno line\nof-no-kind ||| a b c d\nenumeration|||", 1, 25), ('\n3) debugging ||| "', 3, 12), ('"\n comparative ||| ', 4, 9), ("\nprocedural ||| ", 5, 9))
+        return F.concat(*(x for mark, a, b in lines for x in (F.lit(mark), some(p, a, b))))
+
+    rows = table(spark, sf, "documents").selectExpr(
+        "doc_id AS ord", "doc_id % 50 AS query_id", "source AS doc_id", "lang AS topic", "text AS body", "CASE WHEN doc_id % 13 = 0 THEN '' ELSE concat('about ', lang) END AS query", "CASE WHEN doc_id % 11 = 0 THEN 'error:x' ELSE 'ok' END AS status",
+        "CASE doc_id % 5 WHEN 0 THEN 'Comparative' WHEN 1 THEN 'of no kind' WHEN 2 THEN ' DEBUGGING ' WHEN 3 THEN 'debugging' END AS intent",
+    )
+    done = rows.filter("query_id % 5 = 0 AND doc_id LIKE '%1'").selectExpr("query_id AS source_query_id", "doc_id AS source_doc_id")
+    return dataset.synth_queries(rows, generate, n=2, done=done)
 
 
 @query(r"""SELECT conv_id, turn, regexp_replace(regexp_replace(CASE turn % 3 WHEN 0 THEN ' - ' WHEN 1 THEN '12) ' ELSE '' END || '"' || text || ' "', '^\s*([-*+]|\d+[.)])\s+', ''), '^[\s"''`]+|[\s"''`]+$', '', 'g') AS line FROM conversations""")
@@ -167,13 +183,14 @@ def prepro_counters(spark, sf):
     return dataset.prepro_counters(training(spark, sf), max_length=256)
 
 
-@query(f"""WITH s AS (SELECT doc_id AS qid, source AS docid FROM documents ORDER BY sha1('42' || chr(0) || doc_id || '-' || source) LIMIT 60)
-SELECT s.qid, s.docid, l.quality FROM s LEFT JOIN labels l ON l.doc_id = s.qid WHERE s.qid NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) ORDER BY s.qid LIMIT 30""")
+@query("""WITH q AS (SELECT doc_id % 40 AS qid, 'D' || doc_id % 200 AS docid FROM documents), s AS (SELECT *, sha1('42' || chr(0) || qid || '-' || docid) AS h FROM q ORDER BY h LIMIT 240),
+e AS (SELECT DISTINCT doc_id % 40 AS qid, 'D' || doc_id % 200 AS docid FROM documents WHERE doc_id % 200 % 3 = 0), d AS (SELECT DISTINCT qid, docid, h FROM s ANTI JOIN e USING (qid, docid)), c AS (SELECT * FROM d ORDER BY h LIMIT 60)
+SELECT c.qid, c.docid, l.quality FROM c LEFT JOIN labels l ON l.doc_id = c.qid""")
 def judged_pairs(spark, sf):
-    """documents as judgements, labels as query texts: a sample of thirty, drawn twice as large."""
-    qrels = table(spark, sf, "documents").select(F.col("doc_id").alias("qid"), F.col("source").alias("docid"))
-    labels = table(spark, sf, "labels")
-    return dataset.judged_pairs(qrels, labels.select(F.col("doc_id").alias("qid"), "quality"), n=30, oversample=2, exclude=labels.filter("toxic = 1").select(F.col("doc_id").alias("qid"))).select("qid", "docid", "quality")
+    """documents as judgements of forty queries, labels as query texts: a sample of sixty pairs, drawn four times as large."""
+    qrels = table(spark, sf, "documents").selectExpr("doc_id % 40 AS qid", "concat('D', doc_id % 200) AS docid", "doc_id")
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("qid"), "quality")
+    return dataset.judged_pairs(qrels.drop("doc_id"), labels, n=60, oversample=4, exclude=qrels.filter("doc_id % 200 % 3 = 0")).select("qid", "docid", "quality")
 
 
 def surfaced(spark, sf) -> DataFrame:

@@ -102,8 +102,8 @@ def n_words(text: Column) -> Column:
 
 
 def normal_intent(intent: Column) -> Column:
-    """Lower case; null and unknown intents are procedural."""
-    low = F.lower(F.trim(intent))
+    """Lower case, white space as it is; null and unknown intents are procedural."""
+    low = F.lower(intent)
     return F.when(low.isin(*INTENTS), low).otherwise("procedural")
 
 
@@ -117,17 +117,24 @@ def clean_line(line: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(line, r"^\s*([-*+]|\d+[.)])\s+", ""), r"""^[\s"'`]+|[\s"'`]+$""", "")
 
 
-def parse_queries(answer: Column, allowed: Column, most: int) -> Column:
-    """[(intent, query)] of lines ``INTENT ||| query`` of 3 to 20 words: the first of each allowed intent, at most so many."""
-    lines = F.transform(F.split(F.coalesce(answer, F.lit("")), "\n"), lambda x: F.split(clean_line(x), r"\s*\|\|\|\s*", 2))
-    rows = F.transform(F.filter(lines, lambda p: (F.size(p) == 2) & F.array_contains(allowed, F.lower(F.trim(p[0]))) & n_words(clean_line(p[1])).between(3, 20)), lambda p: F.struct(F.lower(F.trim(p[0])).alias("intent"), clean_line(p[1]).alias("query")))
+def parse_queries(answer: Column, existing: Column, most: int) -> Column:
+    """[(intent, query)] of lines ``INTENT ||| query`` of 3 to 20 words: the first of each intent but the existing one, at most so many.
+
+    A list mark in front of a line goes, and quotes around the query.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce(answer, F.lit("")), r"\r\n|[\n\r]"), strip), lambda x: F.contains(x, F.lit("|||")))
+    parts = F.transform(F.transform(lines, lambda x: F.regexp_replace(x, r"^([-*+]|\d+[.)])\s+", "")), lambda x: F.struct(F.lower(strip(F.substring_index(x, "|||", 1))).alias("intent"), strip(F.regexp_replace(x, r"(?s)^.*?\|\|\|", "")).alias("query")))
+    rows = F.transform(parts, lambda x: F.struct(x["intent"].alias("intent"), F.regexp_replace(F.regexp_replace(x["query"], '^"+|"+$', ""), "^'+|'+$", "").alias("query")))
+    rows = F.filter(rows, lambda x: x["intent"].isin(*INTENTS) & (x["intent"] != existing) & n_words(x["query"]).between(3, 20))
     first = F.filter(rows, lambda x, i: F.array_position(F.transform(rows, lambda y: y["intent"]), x["intent"]) == i + 1)
     return F.slice(first, 1, most)
 
 
 def make_qid(*parts: Column) -> Column:
-    """Twelve digits that follow from the parts."""
-    return F.lpad(F.pmod(F.xxhash64(*parts), F.lit(10**12)).cast("string"), 12, "0")
+    """``syn_pd_`` and twelve digits that follow from the parts: their SHA-1's first sixty bits, modulo 10^12."""
+    key = F.concat_ws("\0", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts))
+    number = F.conv(F.substring(F.sha1(key), 1, 15), 16, 10).cast("long") % 10**12
+    return F.concat(F.lit("syn_pd_"), F.lpad(number.cast("string"), 12, "0"))
 
 
 def fresh_queries(df: DataFrame, done: DataFrame | None, order: list[str], words: tuple[int, int] = (3, 20)) -> DataFrame:
@@ -138,24 +145,34 @@ def fresh_queries(df: DataFrame, done: DataFrame | None, order: list[str], words
     return first_seen(rows, ["__low"], order).drop("__low")
 
 
-def synth_prompt(text: Column, allowed: Column, n: int) -> Column:
-    """Own wording: what a generator is asked, with the first 6000 characters of the body."""
-    return F.concat(F.lit(f"Write up to {n} search queries that this document answers, one a line, as INTENT ||| query.\nIntents: "), F.array_join(allowed, ", "), F.lit("\n\nDOCUMENT:\n"), F.substring(text, 1, 6000))
+def synth_prompt(query: Column, intent: Column, text: Column, n: int) -> Column:
+    """Own wording: what a generator is asked, with the query there is and the first 6000 characters of the body."""
+    allowed = F.array_join(allowed_intents(F.array(intent)), ", ")
+    return F.concat(F.lit(f"Write {n} search queries that this document answers, one a line, as INTENT ||| query.\nThere is already: "), query, F.lit(" ("), intent, F.lit(")\nIntents: "), allowed, F.lit("\n\nDOCUMENT:\n"), F.substring(text, 1, 6000))
 
 
-def synth_queries(df: DataFrame, generate: Callable[[Column], Column], *, n: int = 2, limit: int = 0, done: DataFrame | None = None) -> DataFrame:
-    """Queries for documents (doc_id, body, query_id, intents): qid, query, persona, intent, source_query_id, source_doc_id.
+def synth_queries(df: DataFrame, generate: Callable[[Column], Column], *, n: int = 2, limit: int = 0, done: DataFrame | None = None, order: str = "ord") -> DataFrame:
+    """Queries for documents (query_id, doc_id, status, query, intent, topic, body): qid, query, topic, persona, intent, source_query_id, source_doc_id.
 
-    ``generate`` is the port: prompt to answer.  Only intents that the document
-    has no query of yet are asked for; documents that have all are left out.
+    ``generate`` is the port: prompt to answer.  Rows with status ok, a body and
+    a query are taken, the first in ``order`` of each (query_id, doc_id); those
+    whose pair is (source_query_id, source_doc_id) of ``done`` are left out,
+    then the first ``limit`` go on (0: all).  Queries of different documents may be
+    equal; each stays.
     """
-    rows = df.withColumn("allowed", allowed_intents(F.col("intents"))).filter(F.size("allowed") > 0)
+    pair = ["source_query_id", "source_doc_id"]
+    rows = df.filter((F.col("status") == "ok") & truthy(df, "body") & truthy(df, "query"))
+    rows = rows.withColumns({"source_query_id": F.col("query_id").cast("string"), "source_doc_id": F.col("doc_id").cast("string")})
+    rows = first_seen(rows, pair, [order])
+    if done is not None:
+        rows = rows.join(done.select(*(F.col(c).cast("string") for c in pair)).filter("source_query_id != '' AND source_doc_id != ''").distinct(), pair, "left_anti")
     if limit:
-        rows = rows.orderBy("doc_id").limit(limit)
-    rows = rows.withColumn("answer", generate(synth_prompt(F.col("body"), F.col("allowed"), n)))
-    rows = rows.withColumn("x", F.explode(parse_queries(F.col("answer"), F.col("allowed"), n)))
-    out = rows.select(make_qid(F.col("doc_id"), F.col("x.intent"), F.col("x.query")).alias("qid"), F.col("x.query").alias("query"), F.lit("synth").alias("persona"), F.col("x.intent").alias("intent"), F.col("query_id").cast("string").alias("source_query_id"), F.col("doc_id").cast("string").alias("source_doc_id"))
-    return fresh_queries(out, done, ["source_doc_id", "qid"])
+        rows = rows.orderBy(order).limit(limit)
+    rows = rows.withColumn("__had", normal_intent(F.col("intent")))
+    rows = rows.withColumn("__answer", generate(synth_prompt(F.col("query"), F.col("__had"), F.col("body"), n)))
+    rows = rows.withColumn("__x", F.explode(parse_queries(F.col("__answer"), F.col("__had"), n)))
+    x = F.col("__x")
+    return rows.select(make_qid(*map(F.col, pair), x["intent"], x["query"]).alias("qid"), x["query"].alias("query"), "topic", F.lit("synthesized from doc").alias("persona"), x["intent"].alias("intent"), *pair)
 
 
 def sample_rows(df: DataFrame, key: Column, n: int, *, seed: int = 42) -> DataFrame:
@@ -169,12 +186,19 @@ def first_rows(df: DataFrame, order: str, limit: int) -> DataFrame:
 
 
 def judged_pairs(qrels: DataFrame, queries: DataFrame, *, n: int, oversample: int = 1, seed: int = 42, exclude: DataFrame | None = None) -> DataFrame:
-    """A sample of qrels (qid, docid) with their query text: drawn with oversampling, without excluded queries, one of each qid."""
-    drawn = sample_rows(qrels, F.concat_ws("-", "qid", "docid"), n * oversample, seed=seed)
-    rows = drawn.join(queries, "qid", "left")
+    """A sample of qrels (qid, docid) with their query text: the first n in the sample's order.
+
+    ``n * oversample`` rows are drawn by the order of a hash; pairs (qid, docid)
+    of ``exclude`` go, and of rows that repeat a pair one stays.  A qid may have
+    several docids.  Pairs without a query keep a null one.
+    """
+    pair = ["qid", "docid"]
+    place = F.sha1(F.concat(F.lit(f"{seed}\0"), F.concat_ws("-", *pair)))
+    rows = qrels.withColumn("__at", place).orderBy("__at").limit(n * oversample)
     if exclude is not None:
-        rows = rows.join(exclude.select("qid").distinct(), "qid", "left_anti")
-    return first_seen(rows, ["qid"], ["docid"]).orderBy("qid").limit(n)
+        rows = rows.join(exclude.select(F.col("qid").cast(qrels.schema["qid"].dataType), F.col("docid").cast(qrels.schema["docid"].dataType)).distinct(), pair, "left_anti")
+    rows = first_seen(rows, pair, ["__at"]).orderBy("__at", *pair).limit(n)
+    return rows.join(queries, "qid", "left").orderBy("__at", *pair).drop("__at")
 
 
 def label_judged(pairs: DataFrame, documents: DataFrame, labeler: Labeler, provider: str, model: str, version: str, *, most: int = MOST_UNITS["msmarco"], cut: Callable[[Column], Column] = segment) -> DataFrame:
