@@ -29,13 +29,16 @@ from siftline.llm.vocab import read_ranks
 SAMPLE = 300
 #: Runs of more bytes are summed place by place, not many runs of a length at once; the sums are the same.
 LONG = 256
-_LETTERS = re.compile(r"[^\W\d_]+")
+_WORDS = re.compile(r"[^\W\d_]+")  # letters, and numbers that aren't digits, such as \u00bd
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def runs(text: str) -> list[bytes]:
-    """The lower-cased runs of letters, each with a space in front."""
-    return [b" " + run.encode() for run in _LETTERS.findall(text.lower())]
+    """The lower-cased runs of letters (category L), each with a space in front."""
+    found = _WORDS.findall(text.lower())
+    if not all(map(str.isalpha, found)):
+        found = [part for run in found for part in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split(" ")) if part]
+    return [b" " + run.encode() for run in found]
 
 
 @dataclass

@@ -140,13 +140,13 @@ def test_languages_are_told_apart(spark):
     df = spark.createDataFrame(table, "doc_id long, text string, lang string, score string")
     model = langid.train(df, path, learn="id < 30")
     assert model.languages == ["de", "en"]
-    odd = [(100, None, None, "x"), (101, "", "zz", None), (102, "123 !?", "en", None), (None, "und das haus", None, None), (103, "der " * 5000, None, None)]
+    odd = [(100, None, None, "x"), (101, "", "zz", None), (102, "123 !?", "en", None), (None, "und das haus", None, None), (103, "der " * 5000, None, None), (104, "\u00bd \u00b2 \u2460 \u2167\u2177", "en", None), (105, "\u00bdund\u2167das haus\u00b2", None, None)]
     got = langid.predict(spark.createDataFrame(table + odd, "doc_id long, text string, lang string, score string"), model).collect()
-    assert len(got) == 45
+    assert len(got) == 47
     for r in got:
         if r.doc_id is not None and r.doc_id < 40:
             assert r.lang_pred == ("en" if r.doc_id % 2 else "de") and 0.5 < r.score <= 1
-        elif r.doc_id in (100, 101, 102):
+        elif r.doc_id in (100, 101, 102, 104):
             assert (r.lang_pred, r.score) == ("und", 0.0)
         else:
             assert r.lang_pred == "de"
@@ -184,3 +184,29 @@ def test_reader_frames_and_verifies():
     for bad in (raw.replace(b"abc", b"abd"), raw.replace(b"WARC/1.1", b"XXXX/1.1"), raw[:-1]):
         with pytest.raises(ValueError):
             list(warc.read_records(io.BytesIO(gzip.compress(bad))))
+
+
+def test_runs_are_of_letters_alone():
+    """Numbers of every kind end a run, as str.isalpha tells."""
+    from siftline.llm import langid
+
+    everything = "".join(f"a{chr(c)}b " for c in range(0x250000 >> 5) if not 0xD800 <= c < 0xE000)
+    want = "".join(c if c.isalpha() else " " for c in everything.lower()).split(" ")
+    assert langid.runs(everything) == [b" " + w.encode() for w in want if w]
+
+
+def test_accuracy_on_held_out_documents(spark):
+    """All that the query holds out of the tables' documents, by their labels."""
+    from pathlib import Path
+
+    import pytest
+
+    from siftline.llm.queries import op10_language_id
+
+    folder = Path("/root/testdata/sf0.01")
+    if not folder.exists():
+        pytest.skip("the tables are not here")
+    got = op10_language_id(spark, str(folder))
+    rows = got.join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out AND lang IS NOT NULL AND lang_pred != 'und'").select("lang", "lang_pred").collect()
+    assert len(rows) > 150
+    assert sum(r.lang == r.lang_pred for r in rows) >= 0.97 * len(rows)
