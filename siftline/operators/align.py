@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.text import plain, shingles, tokens
+from siftline.operators.heads import containing
+from siftline.sources.shared import small
 
 
 def overlap(fragments: DataFrame, units: DataFrame, key: list[str]) -> DataFrame:
@@ -70,9 +72,10 @@ def align_across(fragments: DataFrame, units: DataFrame, item: str, doc: str, st
     """(item, doc, unit_ids, n_fragments, n_matched): ``align`` of each item's fragments to each document's units, for the pairs in which a fragment matches.
 
     Only pairs that share a shingle are formed, and the units' shingles stay
-    where they are: those of the fragments are broadcast.  A start that holds
-    five whole tokens inside shares a shingle with each unit that contains it,
-    so only fragments with fewer are searched for by their start.
+    where they are if those of the fragments are few enough for a broadcast.  A
+    start that holds five whole tokens inside shares a shingle with each unit
+    that contains it, so only fragments with fewer are searched for by their
+    start, all of them in one pass over the units.
     """
     words = fragments.withColumn("t", tokens(F.col("fragment"))).filter(F.size("t") >= least).select(item, "frag_id", shingles(F.col("t")).alias("g"), F.substring(plain(F.col("fragment")), 1, prefix).alias("head"))
     sought = words.select(item, "frag_id", F.size("g").alias("size"), "g").select(item, "frag_id", "size", F.explode_outer("g").alias("g"))
@@ -80,13 +83,14 @@ def align_across(fragments: DataFrame, units: DataFrame, item: str, doc: str, st
     # a plain explode would bring the nested form back in a filter for size
     own = units.select(doc, "unit_id", tokens(F.col("unit")).alias("t")).select(doc, "unit_id", shingles(F.col("t")).alias("ug"))
     own = own.select(doc, "unit_id", F.size("ug").alias("of"), "ug").select(doc, "unit_id", "of", F.explode_outer("ug").alias("g"))
-    hits = own.join(F.broadcast(sought), "g").groupBy(item, doc, "frag_id", "unit_id").agg(F.count(F.lit(1)).alias("n"), F.collect_list("g").alias("common"), F.max("of").alias("of"), F.max("size").alias("size"))
+    hits = own.join(small(sought), "g").groupBy(item, doc, "frag_id", "unit_id").agg(F.count(F.lit(1)).alias("n"), F.collect_list("g").alias("common"), F.max("of").alias("of"), F.max("size").alias("size"))
     inside = F.size(F.regexp_extract_all("head", F.lit("(?<=[^a-z0-9])([a-z0-9]+)(?=[^a-z0-9])"), F.lit(1)))
-    rest = F.broadcast(words.filter(inside < 5).select(item, "frag_id", "head"))
-    held = units.join(rest, F.contains(plain(F.col("unit")), F.col("head"))).select(item, doc, "frag_id", "unit_id", F.lit(0).cast("long").alias("n"), F.array().cast("array<string>").alias("common"), F.lit(1).alias("of"), F.lit(0).alias("size"))
+    rest = words.filter(inside < 5).select(item, "frag_id", "head")
+    held = containing(units.select(doc, "unit_id", plain(F.col("unit")).alias("plain")), "plain", rest, "head").join(small(rest), "head")
+    held = held.select(item, doc, "frag_id", "unit_id", F.lit(0).cast("long").alias("n"), F.array().cast("array<string>").alias("common"), F.lit(1).alias("of"), F.lit(0).alias("size"))
     grouped = hits.unionByName(held).groupBy(item, doc, "frag_id").agg(F.max("size").alias("size"), F.min("unit_id").alias("first"), ranking("n", "common", F.col("of")))
     ids = F.when(F.col("size") == 0, F.array(F.col("first").cast("int"))).otherwise(choose(strong, cover))
     found = grouped.select(item, doc, ids.alias("ids")).filter(F.size("ids") > 0)
     found = found.groupBy(item, doc).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("unit_ids"), F.count(F.lit(1)).alias("n_matched"))
     counts = fragments.groupBy(item).agg(F.count(F.lit(1)).alias("n_fragments"))
-    return found.join(F.broadcast(counts), item).select(item, doc, "unit_ids", "n_fragments", "n_matched")
+    return found.join(small(counts), item).select(item, doc, "unit_ids", "n_fragments", "n_matched")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -27,3 +28,8 @@ def kept(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """The rows, marked for a broadcast if there are at most so many; counting them is an action."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

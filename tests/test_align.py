@@ -99,3 +99,27 @@ def test_tables(spark):
     read = lambda name, key: [tuple(r) for r in spark.read.parquet(f"{DATA}/{name}.parquet").select(key, "text").collect()]
     want = brute(read("benchmark", "item_id"), read("documents", "doc_id"))
     assert want and aligned(spark, DATA) == want
+
+
+def test_strings_in_texts_equal_brute_force(spark):
+    import random
+
+    from siftline.operators.heads import containing
+
+    r = random.Random(4)
+    word = lambda n: "".join(r.choice("ab \u00e9\U0001f600") for _ in range(n))
+    texts = [None, "", *(word(r.randint(0, 60)) for _ in range(80)), "ab" * 50_000]
+    strings = sorted({word(r.randint(1, 5)) for _ in range(60)} | {"ab" * 20, "zzz"})
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").repartition(3)
+    heads = spark.createDataFrame([(h,) for h in strings + strings[:9] + ["", None]], "head string")
+    want = sorted((k, h) for k, t in enumerate(texts) for h in strings if t and h in t)
+    for most in (1000, 7):
+        assert sorted((x.k, x.head) for x in containing(df, "text", heads, "head", most).collect()) == want
+    assert containing(df, "text", heads.limit(0), "head").collect() == []
+
+
+def test_plan_has_no_nested_loop(spark):
+    if not DATA.exists():
+        pytest.skip("the tables are not here")
+    plan = QUERIES["align_fragments"](spark, str(DATA))._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -4,10 +4,10 @@ from pathlib import Path
 
 import pytest
 
-from siftline.plans import catalog, catalog_stages  # noqa: F401
+from siftline.plans import catalog, catalog_stages, catalog_text  # noqa: F401
 from tests.test_catalog import DATA, db, rows  # noqa: F401
 
-NAMES = [n for n, f in catalog.QUERIES.items() if f.__module__ == "siftline.plans.catalog_stages"]
+NAMES = [n for n, f in catalog.QUERIES.items() if f.__module__ in ("siftline.plans.catalog_stages", "siftline.plans.catalog_text")]
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="the tables are not here")
