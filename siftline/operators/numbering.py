@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from siftline.sources.shared import kept
 
 
-def unused(df: DataFrame, name: str) -> str:
-    """A column name that ``df`` has in no spelling of upper and lower case."""
-    taken = {c.lower() for c in df.columns}
+def unused(df: DataFrame, name: str, *others: str) -> str:
+    """A column name that ``df`` has in no spelling of upper and lower case, and that isn't among ``others``."""
+    taken = {c.lower() for c in (*df.columns, *others)}
     while name.lower() in taken:
         name += "_"
     return name
@@ -26,7 +26,7 @@ def numbered(df: DataFrame, order: list[str], out: str = "number") -> DataFrame:
     which the driver gets one row a part.  Rows that tie in all of ``order`` are
     numbered in any order, the same one at every reading.
     """
-    at, part, first = (unused(df, n) for n in ("__at", "__part", "__first"))
+    at, part, first = (unused(df, n, out) for n in ("__at", "__part", "__first"))
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     rows = kept(ranged.withColumn(at, F.monotonically_increasing_id()), "numbered")
     rows = rows.withColumn(part, F.shiftright(at, 33))  # the id is made of the part and the row's place there

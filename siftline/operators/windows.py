@@ -7,14 +7,18 @@ never texts; a fold in SQL would copy its result at every step.
 from __future__ import annotations
 
 import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftline.operators.numbering import numbered, unused
+from siftline.sources.shared import kept
+
 
 # what runs in workers goes along by value: they need not have this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -128,71 +132,93 @@ def length_buckets(df: DataFrame, length: str, capacity: int, order: list[str])
     return df.withColumn("bucket", F.floor(F.log2(F.greatest(F.col(length), F.lit(1)))).cast("int")).withColumn("rows_per_batch", F.greatest(F.lit(1), F.floor(capacity / F.pow(2, F.col("bucket") + 1))).cast("int"))
 
 
-def filled_batches(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """The batch of each of some ascending lengths: a row joins while longest * rows stays in the capacity, the first always."""
-    out, at, batch = np.zeros(len(lengths), np.int64), 0, 0
-    while at < len(lengths):
-        ahead = lengths[at:] * np.arange(1, len(lengths) - at + 1)
-        size = max(1, int(np.searchsorted(ahead, capacity, "right")))
-        out[at : at + size] = batch
-        at, batch = at + size, batch + 1
-    return out
-
+def fill_plan(histogram: list[tuple[int, int]], capacity: int) -> tuple[list[tuple], int]:
+    """How rows of each length are filled, for ascending (length, rows) up to the capacity, and the number of batches.
 
-def fill_batches(df: DataFrame, length: str, capacity: int, key: str, *, parts: int | None = None, block: int = 4096) -> DataFrame:
-    """Rows with (part, batch), sorted by length and filled greedily to ``capacity`` = longest * rows.
-
-    Lengths are dealt out by ranges; within a task rows are filled in blocks,
-    so a batch never crosses a block.  With one part and one block that is the
-    exact greedy fill.  Ties are in the order of ``key``; a null length counts as 0.
+    (length, first, joining, open, start, size): the first ``joining`` rows of a length
+    join the batch ``open``, the others make batches of ``size`` from number ``start``; ``first``
+    rows are shorter.
+    """
+    plan, batch, held, first = [], 0, 0, 0
+    for length, count in histogram:
+        most = capacity // length if length else held + count
+        joining = min(count, max(0, most - held)) if held else 0
+        size, start = max(1, most), batch + (held > 0)
+        plan.append((length, first, joining, batch, start, size))
+        first, rest = first + count, count - joining
+        if rest:
+            batch = start + (rest - 1) // size
+            held = rest - (rest - 1) // size * size
+        else:
+            held += joining
+    return plan, batch + (held > 0)
+
+
+def fill_batches(df: DataFrame, length: str, capacity: int, key: str) -> DataFrame:
+    """Rows with their batch, from 0, by the greedy fill of all rows in order of length: longest * rows stays in ``capacity``.
+
+    Rows are taken by ascending length (null counts as 0), ties in the order of
+    ``key``; one joins while it fits, and a batch has one row at least.  What a row's
+    batch is follows from its length, its number among all rows, and how the
+    shorter lengths fill: of each length up to the capacity, so at most
+    ``capacity`` of them, the driver gets the number of rows.  Longer rows are alone.
     """
-    rows = df.withColumn("__n", F.coalesce(F.col(length).cast("long"), F.lit(0)))
-    ranged = (rows.repartitionByRange(parts, "__n", key) if parts else rows.repartitionByRange("__n", key)).sortWithinPartitions("__n", key)
-    names = df.columns
-    schema = df.withColumns({"part": F.lit(0), "batch": F.lit(0).cast("long")}).schema
+    if capacity < 1:
+        raise ValueError("the capacity must be positive")
+    n, at = unused(df, "__n"), unused(df, "__at")
+    rows = numbered(df.withColumn(n, F.coalesce(F.col(length).cast("long"), F.lit(0))), [n, key], at)
+    fits = rows.filter(F.col(n) <= capacity)
+    plan, total = fill_plan(sorted(tuple(r) for r in fits.groupBy(n).count().collect()), capacity)
+    names = [n, "first", "joining", "open", "start", "size"]
+    steps = df.sparkSession.createDataFrame(plan, ", ".join(f"`{c}` long" for c in names)).select(n, F.struct(*names[1:]).alias("__p"))
+    rank = F.col(at) - F.col("__p.first")
+    batch = F.when(F.col("__p").isNull(), F.col(at) - fits.count() + total).when(rank < F.col("__p.joining"), F.col("__p.open")).otherwise(F.col("__p.start") + F.floor((rank - F.col("__p.joining")) / F.col("__p.size")))
+    return rows.join(F.broadcast(steps), n, "left").select(*df.columns, batch.alias("batch"))
+
+
+def sliced(df: DataFrame, group: str, length: str, order: list[str], batch_size: int, max_tokens: int | None) -> DataFrame:
+    """Rows with ``slice``: those of a group, by length and order, cut into batches of at most so many rows and longest * rows."""
+    dealt = df.repartition(group).sortWithinPartitions(group, length, *order)
+    schema, names = df.withColumn("slice", F.lit(0).cast("long")).schema, [*df.columns, "slice"]
 
     def run(batches):
-        from pyspark import TaskContext
-
-        part, first, held = TaskContext.get().partitionId(), 0, []
-
-        def close():
-            nonlocal first, held
-            table = pa.Table.from_batches(held)
-            number = filled_batches(table.column("__n").to_numpy(), capacity) + first
-            first, held = int(number[-1]) + 1, []
-            columns = [*(table.column(c) for c in names), pa.array(np.full(len(number), part, np.int32)), pa.array(number)]
-            yield from pa.table(dict(zip([*names, "part", "batch"], columns, strict=True))).to_batches()
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, block):
-                piece = whole.slice(at, block)
-                if held and sum(h.num_rows for h in held) + piece.num_rows > block:
-                    yield from close()
-                held.append(piece)
-        if held:
-            yield from close()
-
-    return ranged.mapInArrow(run, schema)
-
-
-def sampler_batches(df: DataFrame, length: str, key: str, *, batch_size: int, bucket_size: int = 50, seed: int = 42, epoch: int = 0, replicas: int = 1) -> DataFrame:
+        now, number, held = None, 0, 0
+        for batch in batches:
+            out = []
+            for g, size in zip(batch.column(group).to_pylist(), batch.column(length).to_pylist(), strict=True):
+                if g != now:
+                    now, number, held = g, 0, 0
+                elif held == batch_size or (max_tokens is not None and (held + 1) * size > max_tokens):
+                    number, held = number + 1, 0
+                held += 1
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=names)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def sampler_batches(df: DataFrame, length: str, key: str, *, batch_size: int, bucket_size: int = 50, seed: int = 42, epoch: int = 0, replicas: int = 1, max_tokens: int | None = None, drop_last: bool = False, shuffle: bool = True) -> DataFrame:
     """Rows with (batch, replica, step): shuffled by hash, cut into mega-batches, sorted by length there, cut into batches.
 
-    Batches are shuffled by hash again and dealt to replicas in turn.  A row's
-    mega-batch is a hash modulo their number, so no order of all rows is made;
-    mega-batches are equal on average only.  No row is dropped: the last steps
-    of some replicas may be missing.
+    A mega-batch is ``bucket_size * batch_size`` rows of the shuffled order.  A batch
+    has at most ``batch_size`` rows, and with ``max_tokens`` at most so much of longest *
+    rows (one row at least).  With ``drop_last`` smaller batches go.  Batches are
+    shuffled again and dealt to replicas in turn; those at the end that would give
+    some replicas more than others go, with their rows.  Without ``shuffle`` both orders
+    are those of ``key``.  A null length counts as 0; keys must be unique.
     """
-    n = df.count()
-    megas = max(1, -(-n // (bucket_size * batch_size)))
-    rows = df.withColumn("__m", F.pmod(F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key)), F.lit(megas)))
-    by = Window.partitionBy("__m").orderBy(length, key)
-    rows = rows.withColumn("__b", F.floor((F.row_number().over(by) - 1) / batch_size))
-    order = rows.select("__m", "__b").distinct().withColumn("__h", F.xxhash64(F.lit(seed), F.lit(epoch), "__m", "__b"))
-    # as many rows as there are batches, numbered without their members
-    order = order.withColumn("batch", F.row_number().over(Window.orderBy("__h", "__m", "__b")) - 1).drop("__h")
-    out = rows.join(order, ["__m", "__b"]).drop("__m", "__b")
+    n, at, mega = (unused(df, c) for c in ("__n", "__at", "__mega"))
+    mixed = lambda *c: F.sha1(F.concat_ws("\0", F.lit(str(seed)), F.lit(str(epoch)), *(F.col(x).cast("string") for x in c)))
+    rows = df.withColumn(n, F.coalesce(F.col(length).cast("long"), F.lit(0)))
+    rows = numbered(rows.withColumn("__h", mixed(key)), ["__h", key], at).drop("__h") if shuffle else numbered(rows, [key], at)
+    rows = rows.withColumn(mega, F.floor(F.col(at) / (bucket_size * batch_size)))
+    rows = kept(sliced(rows, mega, n, [at], batch_size, max_tokens), "sliced")
+    order = rows.groupBy(mega, "slice").agg(F.count(F.lit(1)).alias("__rows"))
+    if drop_last:
+        order = order.filter(F.col("__rows") == batch_size)
+    order = numbered(order.withColumn("__h", mixed(mega, "slice") if shuffle else F.lit("")), ["__h", mega, "slice"], "batch").drop("__h", "__rows")
+    usable = order.count() // replicas * replicas
+    out = rows.join(order.filter(F.col("batch") < usable), [mega, "slice"]).select(*df.columns, "batch")
     return out.withColumns({"replica": (F.col("batch") % replicas).cast("int"), "step": F.floor(F.col("batch") / replicas).cast("int")})
 
 

@@ -325,16 +325,26 @@ def collate(spark, sf):
     return windows.collate(rows, ["batch"], {"a": -100}).select("doc_id", as_text(F.col("a")).alias("ids"))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars, doc_id) AS i FROM documents),
+f AS (SELECT doc_id, n_chars, i, 0::BIGINT AS batch, 1::BIGINT AS k FROM o WHERE i = 1
+UNION ALL SELECT o.doc_id, o.n_chars, o.i, CASE WHEN o.n_chars * (f.k + 1) > 65536 THEN f.batch + 1 ELSE f.batch END, CASE WHEN o.n_chars * (f.k + 1) > 65536 THEN 1 ELSE f.k + 1 END FROM f JOIN o ON o.i = f.i + 1)
+SELECT doc_id, n_chars, batch FROM f""")
 def fill_batches(spark, sf):
-    """Documents in batches of at most 65,536 characters with padding; where ranges of lengths end depends on the cluster."""
+    """Documents by length in batches of at most 65,536 characters with padding."""
     return windows.fill_batches(table(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars", 1 << 16, "doc_id")
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY sha1('42' || chr(0) || '0' || chr(0) || doc_id), doc_id) - 1 AS n FROM documents),
+m AS (SELECT doc_id, n_chars, n // 256 AS mega, row_number() OVER (PARTITION BY n // 256 ORDER BY n_chars, n) AS i FROM o),
+f AS (SELECT doc_id, n_chars, mega, i, 0::BIGINT AS slice, 1::BIGINT AS k FROM m WHERE i = 1
+UNION ALL SELECT m.doc_id, m.n_chars, m.mega, m.i, CASE WHEN f.k = 32 OR m.n_chars * (f.k + 1) > 65536 THEN f.slice + 1 ELSE f.slice END, CASE WHEN f.k = 32 OR m.n_chars * (f.k + 1) > 65536 THEN 1 ELSE f.k + 1 END
+FROM f JOIN m ON m.mega = f.mega AND m.i = f.i + 1),
+b AS (SELECT mega, slice, row_number() OVER (ORDER BY sha1('42' || chr(0) || '0' || chr(0) || mega || chr(0) || slice), mega, slice) - 1 AS batch FROM (SELECT DISTINCT mega, slice FROM f))
+SELECT f.doc_id, f.n_chars, b.batch, CAST(b.batch % 2 AS INTEGER) AS replica, CAST(b.batch // 2 AS INTEGER) AS step FROM f JOIN b ON b.mega = f.mega AND b.slice = f.slice WHERE b.batch < (SELECT count(*) // 2 * 2 FROM b)""")
 def sampler_batches(spark, sf):
-    """Documents in shuffled batches of 32, of similar length, dealt to two replicas."""
-    return windows.sampler_batches(table(spark, sf, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", batch_size=32, replicas=2)
+    """Documents in shuffled batches of 32 and 65,536 characters, of similar length, dealt to two replicas."""
+    rows = table(spark, sf, "documents").select("doc_id", "n_chars")
+    return windows.sampler_batches(rows, "n_chars", "doc_id", batch_size=32, bucket_size=8, replicas=2, max_tokens=1 << 16)
 
 
 @query("SELECT doc_id, source FROM documents ORDER BY sha1('7' || chr(0) || doc_id) LIMIT 25")
