@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from siftline.functions.segment import segment
 from siftline.operators import sentences
 from siftline.plans.catalog import query, table
+from siftline.sources.shared import shared_folder
+from siftline.streaming import requests
 
 #: Twelve words of a document, over and over, as the parts that Markdown is made of here; a part is told by its number modulo 8.
 PARTS = (
@@ -72,3 +74,17 @@ def learned_sentences(spark, sf):
     """Documents cut into sentences by the abbreviations and first words learned from them all."""
     rows = sentences.learned_sentences(table(spark, sf, "documents").select("doc_id", "lang", "text"), "lang", "text")
     return rows.select("doc_id", F.size("sentences").alias("n_sentences"), F.sha1(F.array_join("sentences", "\0")).alias("digest"))
+
+
+@query("SELECT user_id % 8 AS lane, event_id, true AS fits FROM events")
+def micro_batches(spark, sf):
+    """events in micro-batches of at most six rows or 50 ms: every event once, and how batches fit."""
+    rows = requests.batched_events(spark, sf, shared_folder(spark, "streams"))
+    sizes = rows.groupBy("lane", "batch").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("place").alias("places"), F.max("place").alias("last"), F.countDistinct("ended").alias("ends"))
+    fits = (F.col("n") <= 6) & (F.col("places") == F.col("n")) & (F.col("last") == F.col("n") - 1) & (F.col("ends") == 1)
+    return rows.join(sizes.select("lane", "batch", fits.alias("fits")), ["lane", "batch"]).select("lane", "event_id", "fits")
+
+
+@query("SELECT event_type, count(*) AS n, (SELECT count(*) FROM events) AS all_n, (SELECT count(*) FROM events WHERE user_id % 2 = 1) AS odd_n FROM events GROUP BY 1")
+def drained_events(spark, sf):
+    return requests.counted_events(spark, sf, shared_folder(spark, "streams"))
