@@ -23,12 +23,13 @@ def sigmoid(logit: Column) -> Column:
     return 1 / (1 + F.exp(-logit))
 
 
-def lexical_scores(df: DataFrame) -> DataFrame:
-    """scores: the share of a unit's tokens that the query has too; 0 for a unit without tokens."""
-    rows = df.withColumns({"__t": F.transform("units", tokens), "__q": F.array_distinct(tokens(F.col("query")))})
+def lexical_scores(df: DataFrame, query: str = "query", units: str = "units", out: str = "scores") -> DataFrame:
+    """Adds the share of a unit's tokens that the query has too; 0 for a unit without tokens."""
+    texts = F.coalesce(units, F.array().cast("array<string>"))
+    rows = df.withColumns({"__t": F.transform(texts, tokens), "__q": F.array_distinct(tokens(F.col(query)))})
     # the query's tokens are used twice, so that they stay a column and aren't found again for every token
     share = F.transform("__t", lambda t: F.when((F.size(t) == 0) | (F.size("__q") == 0), 0.0).otherwise(F.size(F.filter(t, lambda w: F.array_contains("__q", w))) / F.size(t).cast("double")))
-    return rows.withColumn("scores", share).drop("__t", "__q")
+    return rows.withColumn(out, share).drop("__t", "__q")
 
 
 def plan_windows(df: DataFrame, key: list[str], *, max_length: int = 8192, cost: Callable[[Column], Column] = count_tokens) -> DataFrame:

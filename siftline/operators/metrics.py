@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.text import tokens
+from siftline.operators.numbering import numbered
+from siftline.sources.shared import small
 
 
 def prf(both: Column, predicted: Column, gold: Column) -> tuple[Column, Column, Column]:
@@ -34,34 +36,54 @@ def token_prf(df: DataFrame, key: list[str], predicted: str, gold: str) -> DataF
 
 
 def summary(df: DataFrame, provider: str, intent: str) -> DataFrame:
-    """Counts, means and exact medians by provider, and by provider and intent, in one grouping-sets aggregate."""
-    df = df.withColumn(intent, F.coalesce(intent, F.lit("?")))
+    """Counts, means and exact medians by provider, and by provider and intent, in one grouping-sets aggregate.
+
+    Rows with gold are scored; n_no_gold has a body and no gold, n_gold_empty is
+    scored with nothing in its gold.  A null or empty intent is '?'.
+    """
+    df = df.withColumn(intent, F.coalesce(F.nullif(F.col(intent), F.lit("")), F.lit("?")))
     grouped = df.groupingSets([[provider], [provider, intent]], provider, intent)
+    scored = F.col("has_gold")
     return grouped.agg(
         F.count(F.lit(1)).alias("n_docs"),
-        F.count_if(F.col("has_body") & F.col("has_gold")).alias("n_scored"),
+        F.count_if(scored).alias("n_scored"),
         F.count_if(~F.col("has_body")).alias("n_no_body"),
-        F.count_if(~F.col("has_gold")).alias("n_no_gold"),
-        *(F.coalesce(F.round(F.avg(F.when(F.col("has_body") & F.col("has_gold"), F.col(c))), 9), F.lit(float("nan"))).alias(c) for c in ("precision", "recall", "f1")),
-        F.percentile(F.when(F.col("has_body") & F.col("has_gold"), F.col("n_pred")), F.lit(0.5)).alias("median_pred"),
-        F.percentile(F.when(F.col("has_body") & F.col("has_gold"), F.col("n_gold")), F.lit(0.5)).alias("median_gold"),
+        F.count_if(F.col("has_body") & ~scored).alias("n_no_gold"),
+        F.count_if(scored & (F.col("n_gold") == 0)).alias("n_gold_empty"),
+        *(F.coalesce(F.round(F.avg(F.when(scored, F.col(c))), 9), F.lit(float("nan"))).alias(c) for c in ("precision", "recall", "f1")),
+        F.percentile(F.when(scored, F.col("n_pred")), F.lit(0.5)).alias("median_pred"),
+        F.percentile(F.when(scored, F.col("n_gold")), F.lit(0.5)).alias("median_gold"),
     )
 
 
 def auc(df: DataFrame, group: str, score: str, label: str, tie: str) -> DataFrame:
-    """Mann-Whitney AUC of each group with both labels, from ordinal ranks (ties in the order of ``tie``)."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(score, tie))
-    ranked = df.withColumn("rank", rank)
-    by = ranked.groupBy(group).agg(F.sum(F.col(label).cast("long")).alias("n_pos"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(label) == 1, F.col("rank")).otherwise(0)).alias("ranks"))
+    """Mann-Whitney AUC of each group with both labels, from ordinal ranks (ties in the order of ``tie``).
+
+    Ranks are dense numbers of all rows by (group, score, tie), less their
+    group's first, so no task has a group to itself.
+    """
+    y = F.col(label).cast("long")
+    rows = numbered(df.select(group, F.col(score).alias("__s"), F.col(tie).alias("__t"), y.alias("__y")), [group, "__s", "__t"], "__n")
+    by = rows.groupBy(group).agg(F.sum("__y").alias("n_pos"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("__y") == 1, F.col("__n")).otherwise(0)).alias("numbers"), F.min("__n").alias("first"))
+    ranks = F.col("numbers") - F.col("n_pos") * (F.col("first") - 1)
     pos, neg = F.col("n_pos").cast("double"), (F.col("n") - F.col("n_pos")).cast("double")
-    return by.filter("n_pos > 0 AND n_pos < n").select(group, ((F.col("ranks") - pos * (pos + 1) / 2) / (pos * neg)).alias("auc"))
+    return by.filter("n_pos > 0 AND n_pos < n").select(group, ((ranks - pos * (pos + 1) / 2) / (pos * neg)).alias("auc"))
+
+
+def ranked_in_groups(df: DataFrame, group: str, order: list[str], out: str = "rank") -> DataFrame:
+    """Rows with their rank from 1 in the order within their group, by dense numbers of all rows."""
+    rows = numbered(df, [group, *order], out)
+    firsts = rows.groupBy(F.col(group).alias("__g")).agg(F.min(out).alias("__first"))
+    return rows.join(small(firsts), F.col(group).eqNullSafe(F.col("__g"))).withColumn(out, F.col(out) - F.col("__first") + 1).drop("__g", "__first")
 
 
 def recall_at_relevant(df: DataFrame, group: str, score: str, label: str, tie: str) -> DataFrame:
     """Of each group's relevant rows the share among as many best scored rows."""
-    w = Window.partitionBy(group)
-    ranked = df.withColumn("k", F.sum(F.col(label).cast("long")).over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc(score), tie)))
-    return ranked.filter("k > 0").groupBy(group).agg((F.sum(F.when(F.col("rank") <= F.col("k"), F.col(label)).otherwise(0)) / F.max("k").cast("double")).alias("recall"))
+    rows = df.select(group, (-F.col(score)).alias("__s"), F.col(tie).alias("__t"), F.col(label).cast("long").alias("__y"))
+    rows = ranked_in_groups(rows, group, ["__s", "__t"], "__r")
+    wanted = rows.groupBy(F.col(group).alias("__w")).agg(F.sum("__y").alias("__k")).filter("__k > 0")
+    hits = rows.join(small(wanted), F.col(group).eqNullSafe(F.col("__w")))
+    return hits.groupBy(group).agg((F.sum(F.when(F.col("__r") <= F.col("__k"), F.col("__y")).otherwise(0)) / F.max("__k").cast("double")).alias("recall"))
 
 
 def sweep(units: DataFrame, scored: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:

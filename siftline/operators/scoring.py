@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions.ids import ratio, render
 from siftline.functions.text import sentences, tokens
+from siftline.operators.compression import lexical_scores
 from siftline.operators.windows import select_under_budget
 
 
@@ -67,8 +68,10 @@ def compress(df: DataFrame, *, query: str = "query", units: str = "units", thres
     """
     if dict(df.dtypes)[units] == "string":
         df = df.withColumn(units, sentences(F.col(units)))
-    scores = F.transform(F.coalesce(units, F.array().cast("array<string>")), lambda u: scorer(F.coalesce(F.col(query), F.lit("")), u))
-    df = df.withColumn("unit_scores", scores)
+    if scorer is lexical_scorer:
+        df = lexical_scores(df, query, units, "unit_scores")  # the same, and a row's query is cut into tokens once
+    else:
+        df = df.withColumn("unit_scores", F.transform(F.coalesce(units, F.array().cast("array<string>")), lambda u: scorer(F.coalesce(F.col(query), F.lit("")), u)))
     if budget is None:
         kept = F.filter(F.transform("unit_scores", lambda s, i: F.when(s >= threshold, i.cast("int")).otherwise(-1)), lambda i: i >= 0)
     else:

@@ -174,9 +174,8 @@ def exclusion_anti(spark, sf):
 @query(f"""WITH r AS (SELECT lang AS query, doc_id, row_number() OVER (PARTITION BY lang ORDER BY {fraction_sql("'r' || doc_id")}, doc_id) AS rank FROM documents)
 SELECT query, doc_id, rank FROM (SELECT r.*, row_number() OVER (PARTITION BY query ORDER BY rank, doc_id) AS n FROM r WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)) WHERE n = 1""")
 def hard_negatives(spark, sf):
-    w = Window.partitionBy("query").orderBy("s", "doc_id")
     docs = table(spark, sf, "documents").select(F.col("lang").alias("query"), "doc_id", text.fraction(F.concat(F.lit("r"), "doc_id")).alias("s"))
-    ranked = docs.withColumn("rank", F.row_number().over(w).cast("long")).drop("s")
+    ranked = metrics.ranked_in_groups(docs, "query", ["s", "doc_id"]).drop("s")
     good = table(spark, sf, "labels").filter("quality = 1").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").select(F.col("lang").alias("query"), "doc_id")
     return assembly.hard_negatives(ranked, good)
 
@@ -294,13 +293,13 @@ def token_prf(spark, sf):
 
 
 @query(f"""WITH {PRF}, x AS (SELECT *, 'p' || (conv_id % 3) AS provider, CASE turn % 3 WHEN 0 THEN 'lookup' WHEN 1 THEN 'howto' ELSE '?' END AS intent, conv_id % 5 <> 0 AS has_body, conv_id % 7 <> 0 AS has_gold FROM prf)
-SELECT provider, intent, count(*) AS n_docs, count(*) FILTER (has_body AND has_gold) AS n_scored, count(*) FILTER (NOT has_body) AS n_no_body, count(*) FILTER (NOT has_gold) AS n_no_gold,
-{", ".join(f"coalesce(round(avg({c}) FILTER (has_body AND has_gold), 9), 'nan'::DOUBLE) AS {c}" for c in ("precision", "recall", "f1"))},
-quantile_cont(n_pred, 0.5) FILTER (has_body AND has_gold) AS median_pred, quantile_cont(n_gold, 0.5) FILTER (has_body AND has_gold) AS median_gold FROM x GROUP BY GROUPING SETS ((provider), (provider, intent))""")
+SELECT provider, intent, count(*) AS n_docs, count(*) FILTER (has_gold) AS n_scored, count(*) FILTER (NOT has_body) AS n_no_body, count(*) FILTER (has_body AND NOT has_gold) AS n_no_gold, count(*) FILTER (has_gold AND n_gold = 0) AS n_gold_empty,
+{", ".join(f"coalesce(round(avg({c}) FILTER (has_gold), 9), 'nan'::DOUBLE) AS {c}" for c in ("precision", "recall", "f1"))},
+quantile_cont(n_pred, 0.5) FILTER (has_gold) AS median_pred, quantile_cont(n_gold, 0.5) FILTER (has_gold) AS median_gold FROM x GROUP BY GROUPING SETS ((provider), (provider, intent))""")
 def provider_summary(spark, sf):
     rows = scored_pairs(spark, sf).withColumns({
         "provider": F.concat(F.lit("p"), F.col("conv_id") % 3),
-        "intent": F.expr("CASE turn % 3 WHEN 0 THEN 'lookup' WHEN 1 THEN 'howto' END"),
+        "intent": F.expr("CASE turn % 3 WHEN 0 THEN 'lookup' WHEN 1 THEN 'howto' ELSE CASE turn % 2 WHEN 0 THEN '' END END"),
         "has_body": F.col("conv_id") % 5 != 0,
         "has_gold": F.col("conv_id") % 7 != 0,
     })

@@ -73,7 +73,7 @@ def scrape(queries: DataFrame, results: DataFrame, retriever: Retriever, *, done
 
     A query with any row in ``done`` is left out as a whole, then the first
     ``limit`` go on (0: all).  Results of excluded hosts go and the rest is
-    numbered.  A blank body gives a row only where the retriever says so; a
+    numbered.  A blank body gives a row, with the empty body, only where the retriever says so; a
     body without units gives none; one of more than ``most`` units gives a row
     with its body, without its units.
     """
@@ -84,7 +84,7 @@ def scrape(queries: DataFrame, results: DataFrame, retriever: Retriever, *, done
     number = F.row_number().over(Window.partitionBy("query_id").orderBy("rank")) - 1 + retriever.first_position
     rows = asked.join(found.withColumn("position", number), "query_id")
     blank = strip(F.coalesce("body", F.lit(""))) == ""
-    rows = rows.withColumns({"__blank": blank, "body": F.coalesce("body", F.lit(""))}).withColumn("units", F.when(F.col("__blank"), F.array().cast("array<string>")).otherwise(cut(F.col("body"))))
+    rows = rows.withColumns({"__blank": blank, "body": F.when(blank, "").otherwise(F.col("body"))}).withColumn("units", F.when(F.col("__blank"), F.array().cast("array<string>")).otherwise(cut(F.col("body"))))
     rows = rows.filter((F.col("__blank") & F.lit(retriever.write_empty)) | (F.size("units") > 0))
     status = F.when(F.col("__blank"), "skipped:empty_md").otherwise(gate_units(F.col("units"), most))
     rows = rows.withColumn("__status", status).withColumn("units", F.when(F.col("__status").startswith("skipped:long"), F.array().cast("array<string>")).otherwise(F.col("units")))

@@ -27,22 +27,30 @@ def join_snippets(snippets: Column) -> Column:
     return F.array_join(F.filter(snippets, lambda x: F.regexp_replace(x, r"\s", "") != ""), "\n")
 
 
+def last_rows(df: DataFrame, key: list[str]) -> DataFrame:
+    """The last row of each key by ``ord``; without that column the greatest by its other simple columns."""
+    order = ["ord"] if "ord" in df.columns else [c for c, t in df.dtypes if not t.startswith(("array", "map", "struct"))]
+    return first_seen(df, key, order, last=True)
+
+
 def doc_eval(results: DataFrame, bodies: DataFrame, gold: DataFrame, queries: DataFrame) -> DataFrame:
     """Every surfaced document with its body's and gold's state, its intent, and multiset P/R/F1 of its snippets.
 
     results: provider, query_id, query, intent, docs; bodies: url, status;
     gold: query_id, url, status, gold_unit_ids, gold_text, units; queries: qid,
-    intent, which stands in where a result has none.  What is absent is
-    missing, empty or ''.  Only rows with body and gold are scored.
+    intent, which stands in where a result has none or an empty one.  What is
+    absent is missing, empty or ''.  Of rows that repeat a key in bodies, gold or
+    queries the last one counts, by column ``ord`` where there is one.
     """
     docs = results.select("provider", F.col("query_id").cast("string").alias("query_id"), "query", "intent", F.explode("docs").alias("d"))
     docs = docs.select("provider", "query_id", "query", F.col("intent").alias("__intent"), F.col("d.url").alias("url"), F.col("d.snippets").alias("snippets"))
+    bodies, gold, queries = last_rows(bodies, ["url"]), last_rows(gold.withColumn("query_id", F.col("query_id").cast("string")), ["query_id", "url"]), last_rows(queries.withColumn("qid", F.col("qid").cast("string")), ["qid"])
     own = bodies.select("url", F.col("status").alias("body_status"))
     right = gold.select(F.col("query_id").cast("string").alias("query_id"), "url", F.col("status").alias("gold_status"), "gold_unit_ids", "gold_text", "units")
-    asked = queries.select(F.col("qid").cast("string").alias("query_id"), F.col("intent").alias("__other")).dropDuplicates(["query_id"])
+    asked = queries.select(F.col("qid").cast("string").alias("query_id"), F.col("intent").alias("__other"))
     rows = docs.join(own, "url", "left").join(right, ["query_id", "url"], "left").join(asked, "query_id", "left")
     rows = rows.withColumns({
-        "intent": F.coalesce("__intent", "__other"), "body_status": F.coalesce("body_status", F.lit("missing")), "gold_status": F.coalesce("gold_status", F.lit("missing")),
+        "intent": F.coalesce(F.nullif(F.col("__intent"), F.lit("")), "__other"), "body_status": F.coalesce("body_status", F.lit("missing")), "gold_status": F.coalesce("gold_status", F.lit("missing")),
         "gold_unit_ids": F.coalesce("gold_unit_ids", F.array().cast("array<int>")), "units": F.coalesce("units", F.array().cast("array<string>")), "gold_text": F.coalesce("gold_text", F.lit("")),
         "snippets": F.coalesce("snippets", F.array().cast("array<string>")),
     }).drop("__intent", "__other")
@@ -105,7 +113,7 @@ def merge_arms(a: DataFrame, b: DataFrame, order: str = "ord") -> DataFrame:
     one, two = (first_seen(x.withColumn("query_id", F.col("query_id").cast("string")), key, [order], last=True) for x in (a, b))
     ids = lambda c: F.array_sort(F.coalesce(c, F.array().cast("array<int>")))
     left = one.select(*key, order, "query", "units", F.size("units").alias("n_units"), ids("relevant_unit_ids").alias("v2_ids"), F.col("status").alias("status_a"), F.col("tokens_in").alias("in_a"), F.col("tokens_out").alias("out_a"))
-    right = two.select(*key, ids("relevant_unit_ids").alias("v3_ids"), F.array_sort("context_unit_ids").alias("v3_context_ids"), F.col("status").alias("status_b"), F.col("tokens_in").alias("in_b"), F.col("tokens_out").alias("out_b"))
+    right = two.select(*key, ids("relevant_unit_ids").alias("v3_ids"), ids("context_unit_ids").alias("v3_context_ids"), F.col("status").alias("status_b"), F.col("tokens_in").alias("in_b"), F.col("tokens_out").alias("out_b"))
     return left.join(right, key)
 
 
