@@ -171,7 +171,7 @@ class Parser:
         return going
 
     def line(self, number: int, raw: str) -> None:
-        s = raw.expandtabs(4).rstrip("\r")
+        s = (raw.expandtabs(4) if "\t" in raw else raw).rstrip("\r")
         depth, at = self.led(s)
         whole = depth == len(self.stack)
         rest = s[at:].lstrip(" ")
