@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.segment import prose, units
+from siftline.sources.shared import kept, small
 
 # what runs in workers goes along by value: they need not have this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -35,11 +36,15 @@ _END = re.compile(rf"[.!?…]+[{CLOSERS}]*(?=\s)")
 _FRONT = re.compile(rf"[{OPENERS}]+")
 
 
-def cores(text: Column) -> Column:
-    """The words of a text between white space, without quotes, brackets and commas around; numbers are #."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
-    bare = F.transform(words, lambda w: F.regexp_replace(F.regexp_replace(w, rf"^[{OPENERS}]+", ""), rf"[{CLOSERS},;:]+$", ""))
-    return F.filter(F.transform(bare, lambda w: F.regexp_replace(w, r"^\d+(?=\.?$)", "#")), lambda w: w != "")
+def core(word: Column) -> Column:
+    """A word without quotes, brackets and commas around; a number is #."""
+    bare = F.regexp_replace(F.regexp_replace(word, rf"^[{OPENERS}]+", ""), rf"[{CLOSERS},;:]+$", "")
+    return F.regexp_replace(bare, r"^\d+(?=\.?$)", "#")
+
+
+def word_counts(df: DataFrame, by: str, text: str) -> DataFrame:
+    """(by, raw, n): what stands between white space, as it is written, and how often."""
+    return df.select(F.col(by).alias("by"), F.explode(F.split(F.col(text), r"\s+")).alias("raw")).filter("raw != ''").groupBy("by", "raw").agg(F.count(F.lit(1)).alias("n"))
 
 
 def ratio(n: str, total: str, p0: str, p1: str) -> str:
@@ -47,16 +52,16 @@ def ratio(n: str, total: str, p0: str, p1: str) -> str:
     return f"-2 * (({n}) * ln(({p0}) / ({p1})) + (({total}) - ({n})) * ln((1 - ({p0})) / (1 - ({p1}))))"
 
 
-def abbreviations(df: DataFrame, by: str, text: str, least: float = ABBREVIATION) -> DataFrame:
+def abbreviations(df: DataFrame, by: str, text: str, least: float = ABBREVIATION, counted: DataFrame | None = None) -> DataFrame:
     """(by, word, n, dotted, score): lower-case words with their counts, with and without period behind; those of at least ``least``.
 
-    Counts are over all rows and are added up in tasks first; the totals of a
-    language come from the words' counts.  Null texts have no words; a null
+    Counts are over all rows and are added up in tasks first, as words are
+    written (``counted``, if they are known); only distinct ones are looked at.  Null texts have no words; a null
     language is one of its own.
     """
-    words = df.select(F.col(by).alias("by"), F.explode(cores(F.col(text))).alias("w"))
-    words = words.select("by", F.lower(F.regexp_replace("w", r"\.$", "")).alias("word"), F.col("w").endswith(".").cast("long").alias("dot"))
-    counts = words.groupBy("by", "word").agg(F.count(F.lit(1)).alias("n"), F.sum("dot").alias("dotted"))
+    words = (word_counts(df, by, text) if counted is None else counted).select("by", core(F.col("raw")).alias("w"), "n").filter("w != ''")
+    words = words.select("by", F.lower(F.regexp_replace("w", r"\.$", "")).alias("word"), "n", F.when(F.col("w").endswith("."), F.col("n")).otherwise(0).alias("dot"))
+    counts = words.groupBy("by", "word").agg(F.sum("n").alias("n"), F.sum("dot").alias("dotted"))
     totals = counts.groupBy(F.col("by").alias("tby")).agg(F.sum("n").alias("all_n"), F.sum("dotted").alias("all_dotted"))
     rows = counts.filter((F.col("dotted") > 0) & F.col("word").rlike(r"^(#|[\p{L}.]*\p{L}[\p{L}.]*)$")).join(totals, F.col("by").eqNullSafe(F.col("tby")))
     chance = "greatest(least(all_dotted / all_n, 0.98D), 1e-9D)"
@@ -69,23 +74,28 @@ def abbreviations(df: DataFrame, by: str, text: str, least: float = ABBREVIATION
     return rows.withColumn("score", F.expr(f"CASE WHEN word = '#' THEN {number} ELSE {score} END")).filter(F.col("score") >= least).select(F.col("by").alias(by), "word", "n", "dotted", "score")
 
 
-def starters(df: DataFrame, by: str, text: str, known: DataFrame, least: float = STARTER) -> DataFrame:
+def starters(df: DataFrame, by: str, text: str, known: DataFrame, least: float = STARTER, counted: DataFrame | None = None) -> DataFrame:
     """(by, word, n, after, score): lower-case words that follow a sentence's end more often than chance has it.
 
     An end is a period behind a word that isn't one of the ``known``
     abbreviations, or an exclamation or question mark; the word that follows
-    must begin with a capital letter.
+    must begin with a capital letter.  Only pairs whose first word may end a sentence
+    are counted.
     """
-    words = df.select(F.col(by).alias("by"), cores(F.col(text)).alias("ws"))
-    pairs = words.select("by", F.explode(F.arrays_zip(F.concat(F.array(F.lit("")), F.slice("ws", 1, F.greatest(F.size("ws") - 1, F.lit(0)))).alias("a"), F.col("ws").alias("b"))).alias("x"))
-    bare = lambda c: F.regexp_replace(c, r"[.!?…]+$", "")
-    pairs = pairs.filter("x.b IS NOT NULL").select("by", F.lower(bare("x.a")).alias("front"), F.lower(bare("x.b")).alias("word"), F.col("x.a").rlike(r"[.!?…]$").cast("long").alias("ended"), F.col("x.b").rlike(r"^\p{Lu}").alias("upper"))
-    counts = pairs.groupBy("by", "front", "word", "ended", "upper").agg(F.count(F.lit(1)).alias("n"))
-    listed = known.select(F.col(by).alias("kby"), F.col("word").alias("kword"), F.lit(True).alias("listed"))
-    counts = counts.join(listed, F.col("by").eqNullSafe(F.col("kby")) & (F.col("front") == F.col("kword")), "left").withColumn("end", (F.col("ended") == 1) & F.col("listed").isNull())
-    words_n = counts.groupBy("by", "word").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("end") & F.col("upper"), F.col("n")).otherwise(0)).alias("after"))
-    totals = counts.groupBy(F.col("by").alias("tby")).agg(F.sum("n").alias("all_n"), F.sum(F.when(F.col("end"), F.col("n")).otherwise(0)).alias("all_ends"))
-    rows = words_n.filter("after > 0").filter(F.col("word").rlike(r"^\p{L}+$")).join(totals, F.col("by").eqNullSafe(F.col("tby")))
+    marks = [*".!?…", *CLOSERS.replace("\\", "")]
+    ws = df.select(F.col(by).alias("by"), F.split(F.col(text), r"\s+").alias("ws")).filter(F.size("ws") > 1)
+    pairs = ws.select("by", F.explode(F.arrays_zip(F.slice("ws", 1, F.size("ws") - 1).alias("a"), F.slice("ws", 2, F.size("ws") - 1).alias("b"))).alias("x"))
+    pairs = pairs.select("by", "x.a", "x.b").filter(F.substring("a", -1, 1).isin(*marks)).groupBy("by", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    bare = lambda c: F.regexp_replace(core(F.col(c)), r"[.!?…]+$", "")
+    pairs = pairs.filter(core(F.col("a")).rlike(r"[.!?…]$")).select("by", F.lower(bare("a")).alias("front"), F.lower(bare("b")).alias("word"), core(F.col("b")).rlike(r"^\p{Lu}").alias("upper"), "n")
+    listed = known.select(F.col(by).alias("kby"), F.col("word").alias("kword"))
+    ends_ = pairs.join(small(listed), F.col("by").eqNullSafe(F.col("kby")) & (F.col("front") == F.col("kword")), "left_anti")
+    after = ends_.groupBy(F.col("by").alias("aby"), F.col("word").alias("aword")).agg(F.sum(F.when(F.col("upper"), F.col("n")).otherwise(0)).alias("after"), F.sum("n").alias("ends"))
+    all_ends = after.groupBy(F.col("aby").alias("eby")).agg(F.sum("ends").alias("all_ends"))
+    words = (word_counts(df, by, text) if counted is None else counted).select("by", F.lower(bare("raw")).alias("word"), "n").filter("word != ''").groupBy("by", "word").agg(F.sum("n").alias("n"))
+    all_n = words.groupBy(F.col("by").alias("tby")).agg(F.sum("n").alias("all_n"))
+    rows = words.join(after.filter("after > 0"), F.col("by").eqNullSafe(F.col("aby")) & (F.col("word") == F.col("aword"))).filter(F.col("word").rlike(r"^\p{L}+$"))
+    rows = rows.join(all_ends, F.col("by").eqNullSafe(F.col("eby"))).join(all_n, F.col("by").eqNullSafe(F.col("tby")))
     # among the places behind an end: the word's share there against its share everywhere
     p0, p1 = "least(n / all_n, 0.999D)", "least(after / all_ends, 0.9999D)"
     return rows.filter("after / all_ends > n / all_n").withColumn("score", F.expr(ratio("after", "all_ends", p0, p1))).filter(F.col("score") >= least).select(F.col("by").alias(by), "word", "n", "after", "score")
@@ -156,9 +166,8 @@ def sentences(df: DataFrame, by: str, text: str, short: DataFrame, first: DataFr
 
 def learned_sentences(df: DataFrame, by: str, text: str, out: str = "sentences") -> DataFrame:
     """Both lists learned from the rows themselves, and the rows cut by them."""
-    from siftline.sources.shared import kept
-
     df = df.withColumn(by, F.col(by).cast("string"))
-    short = kept(abbreviations(df, by, text), "abbreviations")
-    first = kept(starters(df, by, text, short), "starters")
+    counted = kept(word_counts(df, by, text), "words")
+    short = kept(abbreviations(df, by, text, counted=counted), "abbreviations")
+    first = kept(starters(df, by, text, short, counted=counted), "starters")
     return sentences(df, by, text, short, first, out)
