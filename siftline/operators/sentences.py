@@ -91,6 +91,7 @@ def starters(df: DataFrame, by: str, text: str, known: DataFrame, least: float =
     listed = known.select(F.col(by).alias("kby"), F.col("word").alias("kword"))
     ends_ = pairs.join(small(listed), F.col("by").eqNullSafe(F.col("kby")) & (F.col("front") == F.col("kword")), "left_anti")
     after = ends_.groupBy(F.col("by").alias("aby"), F.col("word").alias("aword")).agg(F.sum(F.when(F.col("upper"), F.col("n")).otherwise(0)).alias("after"), F.sum("n").alias("ends"))
+    after = kept(after, "after")  # read twice
     all_ends = after.groupBy(F.col("aby").alias("eby")).agg(F.sum("ends").alias("all_ends"))
     words = (word_counts(df, by, text) if counted is None else counted).select("by", F.lower(bare("raw")).alias("word"), "n").filter("word != ''").groupBy("by", "word").agg(F.sum("n").alias("n"))
     all_n = words.groupBy(F.col("by").alias("tby")).agg(F.sum("n").alias("all_n"))
