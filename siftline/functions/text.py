@@ -48,6 +48,11 @@ def _ranges() -> str:
     return "[" + "".join(f"\\x{{{points[a]:x}}}-\\x{{{points[b - 1]:x}}}" for a, b in zip(cuts, cuts[1:], strict=False)) + "]"
 
 
+def folding() -> tuple[str, str, dict[str, str], str]:
+    """What ``plain`` folds by: characters, what each becomes, those that become several, and a pattern that finds these."""
+    return *_folding(), _ranges()
+
+
 def strip(text: Column) -> Column:
     """Without white space at either end (trim alone takes spaces only)."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions.segment import segment
@@ -28,12 +29,13 @@ def sql_text(template: str) -> str:
 UNITS_SQL = " ".join(f"WHEN {k} THEN [{', '.join(map(sql_text, us))}]" for k, us in enumerate(PART_UNITS))
 
 
-@query(rf"""WITH c AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')) AS t FROM documents),
+MARKDOWN_UNITS = rf"""WITH c AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')) AS t FROM documents),
 p AS (SELECT doc_id, list_transform(regexp_extract_all(t, '(?:[A-Za-z0-9]+ ?){{1,12}}'), lambda x: replace(trim(x), ' ', ', ')) AS gs FROM c),
-u AS (SELECT doc_id, flatten(list_transform(gs, lambda g, i: CASE (i - 1) % 8 {UNITS_SQL} END)) AS units FROM p)
-SELECT doc_id, CAST(len(units) AS INTEGER) AS n_units, sha1(array_to_string(units, chr(0))) AS digest FROM u""")
-def segment_blocks(spark, sf):
-    """Documents written as Markdown of all kinds of blocks, cut into units: the SQL has the units by the parts' own rules."""
+u AS (SELECT doc_id, flatten(list_transform(gs, lambda g, i: CASE (i - 1) % 8 {UNITS_SQL} END)) AS units FROM p)"""
+
+
+def markdown(spark, sf) -> DataFrame:
+    """documents written as Markdown of all kinds of blocks: doc_id, body."""
     plain = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " "))
     groups = F.transform(F.regexp_extract_all(plain, F.lit("(?:[A-Za-z0-9]+ ?){1,12}"), F.lit(0)), lambda g: F.replace(F.trim(g), F.lit(" "), F.lit(", ")))
 
@@ -44,8 +46,13 @@ def segment_blocks(spark, sf):
             out = F.when(i % 8 == k, text) if out is None else out.when(i % 8 == k, text)
         return out
 
-    rows = table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(groups, part), "\n\n").alias("markdown"))
-    rows = rows.select("doc_id", segment(F.col("markdown")).alias("units"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(F.transform(groups, part), "\n\n").alias("body"))
+
+
+@query(MARKDOWN_UNITS + " SELECT doc_id, CAST(len(units) AS INTEGER) AS n_units, sha1(array_to_string(units, chr(0))) AS digest FROM u")
+def segment_blocks(spark, sf):
+    """Markdown cut into units: the SQL has the units by the parts' own rules."""
+    rows = markdown(spark, sf).select("doc_id", segment(F.col("body")).alias("units"))
     return rows.select("doc_id", F.size("units").alias("n_units"), F.sha1(F.array_join("units", "\0")).alias("digest"))
 
 
