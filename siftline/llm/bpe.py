@@ -19,7 +19,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable
 from functools import cache
-from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -32,8 +31,8 @@ from siftline.llm.segments import CutTable, Memo
 from siftline.llm.vocab import pretoken_pattern, read_ranks, runs_of
 
 NONE = np.int32(2**31 - 1)
-#: Bytes of a row of a piece that is longer; bytes around a seam above which they are merged from a heap.
-ROW, STRETCH = 256, 2048
+#: Bytes of a row of a piece that is longer.
+ROW = 256
 
 
 class PairTable:
@@ -172,9 +171,8 @@ class ByteBpe:
             low, high = low[new], np.maximum.reduceat(high, new)
             at = np.concatenate(([0], np.cumsum(self.sizes[ids])))
             raw = [piece[a:b] for a, b in zip(at[low].tolist(), at[high].tolist(), strict=True)]
-            found = [None if len(r) > ROW else r for r in raw]
-            settled = iter(self._merged([r for r in found if r is not None]))
-            found = [next(settled) if r is not None else self._heap(raw[i]) if len(raw[i]) > STRETCH else self._matrix([raw[i]], len(raw[i]))[0] for i, r in enumerate(found)]
+            settled = iter(self._merged([r for r in raw if len(r) <= ROW]))
+            found = [self._wide(r) if len(r) > ROW else next(settled) for r in raw]
             parts, seams, done, n = [], [], 0, 0
             for a, b, f in zip(low.tolist(), high.tolist(), found, strict=True):
                 parts += [ids[done:a], f]
@@ -187,29 +185,35 @@ class ByteBpe:
             reach *= 2
         return ids
 
-    def _heap(self, raw: bytes) -> np.ndarray:
-        """A stretch where a seam shifts all that follows, as in words that repeat: its pairs by rank and place from a heap."""
-        rank, n = self.ranks.get, len(raw)
-        token = [raw[i : i + 1] for i in range(n)]
-        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
-        heap = [(r, i) for i in range(n - 1) if (r := rank(raw[i : i + 2])) is not None]
-        heapify(heap)
-        while heap:
-            r, i = heappop(heap)
-            j = right[i] if token[i] else n
-            if j == n or rank(token[i] + token[j]) != r:
-                continue  # one of the two has been merged since
-            token[i] += token[j]
-            token[j] = b""
-            k = right[i] = right[j]
-            if k < n:
-                left[k] = i
-                if (r := rank(token[i] + token[k])) is not None:
-                    heappush(heap, (r, i))
-            k = left[i]
-            if k >= 0 and (r := rank(token[k] + token[i])) is not None:
-                heappush(heap, (r, k))
-        return np.fromiter((self.ranks[t] for t in token if t), np.int32)
+    def _wide(self, raw: bytes) -> np.ndarray:
+        """Ids of a row of any length; a round merges all pairs of the least rank where that is the same as one after another.
+
+        One after another they are merged from the left, and a merged token that
+        makes a pair of no greater rank with a neighbour has its turn next; so a
+        round ends with the first merge that makes such a pair.
+        """
+        ids = self.single[np.frombuffer(raw, np.uint8)]
+        pairs = self.table(ids[:-1], ids[1:])
+        while len(pairs) and (rank := pairs.min()) != NONE:
+            at = np.flatnonzero(pairs == rank)
+            # of pairs that overlap each other the first, third, fifth
+            run = np.flatnonzero(np.concatenate(([True], np.diff(at) > 1)))
+            at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+            # the neighbours when its turn comes: all before it merged, none behind it
+            before, behind = np.where(at > 0, ids[at - 1], -1), np.append(ids, np.int32([-1, -1]))[at + 2]
+            before[1:][np.diff(at) == 2] = rank
+            token = np.full(len(at), rank, np.int32)
+            early = np.flatnonzero((self.table(before, token) <= rank) | (self.table(token, behind) <= rank))
+            if len(early):
+                at = at[: early[0] + 1]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids[at] = rank
+            ids, pairs = ids[keep], np.append(pairs, NONE)[keep][:-1]
+            place = at - np.arange(len(at))
+            for i in (place[place > 0] - 1, place[place < len(pairs)]):
+                pairs[i] = self.table(ids[i], ids[i + 1])
+        return ids
 
     def _matrix(self, pieces: list[bytes], width: int) -> Iterable[np.ndarray]:
         lengths = np.array(list(map(len, pieces)))
