@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.text import tokens
@@ -86,20 +86,52 @@ def recall_at_relevant(df: DataFrame, group: str, score: str, label: str, tie: s
     return hits.groupBy(group).agg((F.sum(F.when(F.col("__r") <= F.col("__k"), F.col("__y")).otherwise(0)) / F.max("__k").cast("double")).alias("recall"))
 
 
+#: Values of a threshold, token's or sentence's, that a sweep takes; they go along with the tasks.
+VALUES = 10_000
+
+
+def _values(pairs: DataFrame, column: str) -> list[float]:
+    found = [r[0] for r in pairs.select(F.col(column).cast("double")).distinct().limit(VALUES + 1).collect()]
+    if len(found) > VALUES:
+        raise ValueError(f"more than {VALUES} values of {column}")
+    return sorted(found)
+
+
+def _reached(value: Column, ascending: list[float]) -> Column:
+    """How many of the numbers are at most the value."""
+    numbers = F.array(*map(F.lit, ascending))
+    return F.size(F.filter(numbers, lambda t: t <= value))
+
+
 def sweep(units: DataFrame, scored: DataFrame, thresholds: DataFrame, keys: list[str]) -> DataFrame:
     """Micro precision, recall, F1 and keep rate over units for every pair (token_threshold, sentence_threshold).
 
     units: keys, label; scored: keys and the probability p of each token.  A
     unit is kept where the share of its tokens at the token threshold or above
-    reaches the sentence threshold; one without tokens never is.
+    reaches the sentence threshold; one without tokens never is.  Tokens are
+    counted by the thresholds they reach, units by those their share reaches,
+    and the sums over these two histograms give all pairs: a unit is a row for
+    each token threshold, not for each pair.  Pairs with a null, and a sweep
+    over no units, give no rows; more than VALUES values of one threshold raise.
     """
     pair = ["token_threshold", "sentence_threshold"]
-    by = scored.groupBy(*keys).agg(F.collect_list("p").alias("ps"))
-    joined = units.join(by, keys, "left").select("label", "ps").join(F.broadcast(thresholds.select(*pair).distinct()), F.lit(True))
-    above = F.size(F.filter("ps", lambda p: p >= F.col("token_threshold"))) / F.size("ps").cast("double")
-    keep = F.coalesce(above >= F.col("sentence_threshold"), F.lit(False))
-    y = F.col("label") == 1
-    by = joined.groupBy(*pair).agg(F.count_if(keep & y).alias("tp"), F.count_if(keep & ~y).alias("fp"), F.count_if(~keep & y).alias("fn"), F.count(F.lit(1)).alias("n"))
+    pairs = thresholds.select(*(F.col(c).cast("double").alias(c) for c in pair)).dropna().distinct()
+    token, sentence = (_values(pairs, c) for c in pair)
+    if not token:
+        token = sentence = [0.0]  # no pairs: nothing is left of the sums below
+    by = scored.filter("p IS NOT NULL").groupBy(*keys, _reached(F.col("p"), token).alias("__b")).agg(F.count(F.lit(1)).alias("__c"))
+    by = by.groupBy(*keys).agg(F.sum("__c").alias("__n"), F.collect_list(F.struct("__b", "__c")).alias("__bs"))
+    above = lambda i: F.aggregate(F.filter("__bs", lambda x: x["__b"] > i), F.lit(0).cast("long"), lambda s, x: s + x["__c"])
+    shares = F.transform(F.sequence(F.lit(0), F.lit(len(token) - 1)), lambda i: above(i) / F.col("__n").cast("double"))
+    rows = units.join(by, keys).select((F.col("label") == 1).alias("y"), F.posexplode(shares).alias("i", "share"))
+    reached = rows.groupBy("i", _reached(F.col("share"), sentence).alias("at")).agg(F.count_if("y").alias("tp"), F.count_if(~F.col("y")).alias("fp"))
+    asked = pairs.select(*pair, (_reached(F.col("token_threshold"), token) - 1).alias("i"), _reached(F.col("sentence_threshold"), sentence).alias("at"))
+    # of one token threshold all units whose share reaches as many sentence thresholds or more
+    order = Window.partitionBy("i").orderBy(F.desc("at"))
+    summed = asked.unionByName(reached, allowMissingColumns=True)
+    summed = summed.withColumns({c: F.coalesce(F.sum(c).over(order), F.lit(0)) for c in ("tp", "fp")}).filter("token_threshold IS NOT NULL")
+    whole = units.agg(F.count_if(F.col("label") == 1).alias("relevant"), F.count(F.lit(1)).alias("n")).filter("n > 0")
+    by = summed.join(F.broadcast(whole)).select(*pair, "tp", "fp", (F.col("relevant") - F.col("tp")).alias("fn"), "n")  # one row on that side
     p, r = F.col("tp") / F.greatest(F.col("tp") + F.col("fp"), F.lit(1)).cast("double"), F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1)).cast("double")
     by = by.withColumns({"precision": p, "recall": r, "keep_rate": (F.col("tp") + F.col("fp")) / F.col("n").cast("double")})
     return by.withColumn("f1", 2 * F.col("precision") * F.col("recall") / F.greatest(F.col("precision") + F.col("recall"), F.lit(1e-9)))

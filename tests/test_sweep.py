@@ -28,3 +28,15 @@ def test_every_pair_is_swept(spark):
         assert (r.tp, r.fp, r.fn) == (tp, fp, fn)
         assert abs(r.keep_rate - len(kept) / len(units)) < 1e-9 and abs(r.precision - tp / max(tp + fp, 1)) < 1e-9 and abs(r.recall - tp / max(tp + fn, 1)) < 1e-9
     assert len({(r.tp, r.fp) for r in got if r.sentence_threshold == 0.5}) > 1
+
+
+def test_nulls_and_nothing(spark):
+    keys = ["k"]
+    units = spark.createDataFrame([(1, 1), (2, None), (3, 0), (4, 1)], "k int, label int")
+    scored = spark.createDataFrame([(1, 0.9), (1, None), (2, 0.9), (3, 0.5), (9, 1.0)], "k int, p double")
+    pairs = spark.createDataFrame([(0.5, 1.0), (0.5, 1.5), (None, 0.5), (0.9, 0.0), (0.9, -1.0)], "token_threshold double, sentence_threshold double")
+    got = {(r.token_threshold, r.sentence_threshold): (r.tp, r.fp, r.fn, r.n) for r in metrics.sweep(units, scored, pairs, keys).collect()}
+    # a unit of null label counts for n alone; tokens of no unit count for nothing
+    assert got == {(0.5, 1.0): (1, 1, 1, 4), (0.5, 1.5): (0, 0, 2, 4), (0.9, 0.0): (1, 1, 1, 4), (0.9, -1.0): (1, 1, 1, 4)}
+    assert metrics.sweep(units, scored, pairs.limit(0), keys).count() == 0
+    assert metrics.sweep(units.limit(0), scored, pairs, keys).count() == 0
