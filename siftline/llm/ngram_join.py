@@ -190,7 +190,7 @@ def lists_of(posted: DataFrame) -> DataFrame:
     lists with equal documents one stays.  Tiles of longer lists stay as they
     are, and an unexpectedly long one is cut on.
     """
-    schema = "shingle long, tile int, ids array<long>, ns array<long>, h1 long, h2 long"
+    schema = "shingle long, tile long, ids array<long>, ns array<long>, h1 long, h2 long"
     sorted_ = posted.repartition("shingle", "tile").sortWithinPartitions("shingle", "tile", "n", "id")
 
     def run(batches):
@@ -228,7 +228,7 @@ def lists_of(posted: DataFrame) -> DataFrame:
             arrays = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids, n)]
             # parts of a tile are tiles: numbered above any tile that a hash gives
             name = tile[cut].astype(np.int64) + (part[cut] << 20)
-            yield pa.RecordBatch.from_arrays([pa.array(shingle[cut]), pa.array(name, pa.int32()), *arrays, *map(pa.array, keys)], names=["shingle", "tile", "ids", "ns", "h1", "h2"]).filter(pa.array(new))
+            yield pa.RecordBatch.from_arrays([pa.array(shingle[cut]), pa.array(name, pa.int64()), *arrays, *map(pa.array, keys)], names=["shingle", "tile", "ids", "ns", "h1", "h2"]).filter(pa.array(new))
 
     lists = map_arrow(sorted_, run, schema)
     return lists.groupBy("h1", "h2").agg(F.min_by(F.struct("shingle", "tile", "ids", "ns"), "shingle").alias("x")).select("x.*")

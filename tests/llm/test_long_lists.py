@@ -46,6 +46,14 @@ def test_tiles_are_made_and_pairs_across_them_found(spark, monkeypatch):
     assert len({(r.shingle, r.tile) for r in lists}) == len(lists) and max(r.tile for r in lists) > 3
 
 
+def test_a_tile_of_thousands_of_parts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 1)
+    posted = spark.range(4200).selectExpr("7L AS shingle", "0 AS tile", "1 AS tiles", "id", "CAST(100 AS BIGINT) AS n").repartition(2)
+    lists = ngram_join.lists_of(posted).collect()
+    assert sorted(i for r in lists for i in r.ids) == list(range(4200))
+    assert len({r.tile for r in lists}) == len(lists) == 2100 and max(r.tile for r in lists) == 2099 << 20
+
+
 def test_links_within_connect_what_passes():
     rnd = np.random.default_rng(5)
     sets = [np.unique(rnd.integers(0, 1 << 62, 300).astype(np.uint64))]
