@@ -26,20 +26,21 @@ def ranking(n: str, common: str, of: Column) -> Column:
     return F.array_sort(F.collect_list(F.struct((-F.col(n)).alias("k"), F.col("unit_id").alias("u"), F.col(common).alias("common"), (F.col(n) / of).alias("share")))).alias("ranked")
 
 
-def choose(strong: float, cover: float) -> Column:
-    """Of ``ranked`` the strong units, and those of the greedy cover where it reaches its share of ``size``."""
+def choose(strong: float, cover: float, ranked: Column | None = None, size: Column | None = None) -> Column:
+    """Of the ``ranked`` units (a column's, if not given) the strong ones, and those of the greedy cover where it reaches its share of ``size``."""
+    ranked, size = F.col("ranked") if ranked is None else ranked, F.col("size") if size is None else size
     start = F.struct(F.array().cast("array<string>").alias("got"), F.array().cast("array<int>").alias("ids"))
 
     def step(s, x):
-        open_ = F.size(s["got"]) < F.lit(cover) * F.col("size")
+        open_ = F.size(s["got"]) < F.lit(cover) * size
         brings = open_ & (F.size(F.array_except(x["common"], s["got"])) > 0)
         return F.struct(F.when(brings, F.array_union(s["got"], x["common"])).otherwise(s["got"]).alias("got"), F.when(brings, F.concat(s["ids"], F.array(x["u"].cast("int")))).otherwise(s["ids"]).alias("ids"))
 
     def finish(s):
-        return F.when(F.size(s["got"]) >= F.lit(cover) * F.col("size"), s["ids"]).otherwise(F.array().cast("array<int>"))
+        return F.when(F.size(s["got"]) >= F.lit(cover) * size, s["ids"]).otherwise(F.array().cast("array<int>"))
 
-    strong_ids = F.transform(F.filter("ranked", lambda x: x["share"] >= strong), lambda x: x["u"].cast("int"))
-    return F.array_union(strong_ids, F.aggregate("ranked", start, step, finish))
+    strong_ids = F.transform(F.filter(ranked, lambda x: x["share"] >= strong), lambda x: x["u"].cast("int"))
+    return F.array_union(strong_ids, F.aggregate(ranked, start, step, finish))
 
 
 def align(fragments: DataFrame, units: DataFrame, key: list[str], strong: float = 0.5, cover: float = 0.5, least: int = 6, prefix: int = 80) -> DataFrame:
@@ -94,3 +95,34 @@ def align_across(fragments: DataFrame, units: DataFrame, item: str, doc: str, st
     found = found.groupBy(item, doc).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("unit_ids"), F.count(F.lit(1)).alias("n_matched"))
     counts = fragments.groupBy(item).agg(F.count(F.lit(1)).alias("n_fragments"))
     return found.join(small(counts), item).select(item, doc, "unit_ids", "n_fragments", "n_matched")
+
+
+def align_rows(df: DataFrame, fragments: str, units: str, strong: float = 0.5, cover: float = 0.5, least: int = 6, prefix: int = 80) -> DataFrame:
+    """``df`` with unit_ids, n_fragments and n_matched: ``align`` where fragments and units are two arrays of one row.
+
+    Nothing is shuffled and no row is looked up, so ids may repeat and a hot
+    key costs nothing; a row costs its fragments times its units.  Null arrays
+    are empty ones.
+    """
+    none = F.array().cast("array<string>")
+    rows = df.withColumns({"__f": F.coalesce(fragments, none), "__p": F.transform(F.coalesce(units, none), plain)})
+    words = lambda p: F.regexp_extract_all(p, F.lit("([a-z0-9]+)"), F.lit(1))
+    rows = rows.withColumn("__g", F.transform(F.transform("__p", words), lambda t: shingles(t)))
+    asked = F.transform(F.transform("__f", plain), lambda p: F.struct(p.alias("p"), words(p).alias("t")))
+    asked = F.transform(F.filter(asked, lambda x: F.size(x["t"]) >= least), lambda x: F.struct(F.substring(x["p"], 1, prefix).alias("head"), shingles(x["t"]).alias("g")))
+
+    def of_units(x):
+        common = F.transform("__g", lambda g: F.struct(F.array_intersect(x["g"], g).alias("common"), F.size(g).alias("of")))
+        hits = F.transform(common, lambda y, i: F.struct((-F.size(y["common"])).alias("k"), i.alias("u"), y["common"].alias("common"), (F.size(y["common"]) / F.greatest(y["of"], F.lit(1))).alias("share")))
+        return F.struct(F.size(x["g"]).alias("size"), x["head"].alias("head"), F.array_sort(F.filter(hits, lambda y: y["k"] < 0)).alias("ranked"))
+
+    def ids(x):
+        first = F.slice(F.filter(F.transform("__p", lambda p, i: F.when(F.contains(p, x["head"]), i.cast("int"))), lambda i: i.isNotNull()), 1, 1)
+        return F.when(F.size(x["ranked"]) == 0, first).otherwise(choose(strong, cover, x["ranked"], x["size"]))
+
+    # sizes are asked for as well: a column that is used twice is worked out before a lambda, not again in each of its steps
+    some = (F.size("__p") > 0) & (F.size("__g") > 0)
+    rows = rows.withColumn("__ids", F.when(some, F.transform(F.transform(asked, of_units), ids)).otherwise(F.array().cast("array<array<int>>")))
+    found = F.array_sort(F.array_distinct(F.flatten("__ids")))
+    rows = rows.withColumns({"unit_ids": found, "n_fragments": F.size("__f"), "n_matched": F.size(F.filter("__ids", lambda x: F.size(x) > 0))})
+    return rows.drop("__f", "__p", "__g", "__ids")

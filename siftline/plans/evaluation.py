@@ -144,6 +144,49 @@ def compare_labelers(gold: DataFrame, predicted: DataFrame, order: str = "ord")
     return both.withColumn("m", set_prf(F.col("pred_ids"), F.col("gold_ids"))).select(*key, "gold_ids", "pred_ids", F.size("pred_ids").cast("long").alias("n_pred"), F.size("gold_ids").cast("long").alias("n_gold"), "m.*")
 
 
+def labeled_cost(rows: DataFrame, prices: DataFrame, side: str, order: str) -> DataFrame:
+    """One row with n_rows, tokens_in, tokens_out and usd, each followed by _``side``.
+
+    Rows with status ok count, of those that repeat a key the last.  The price
+    is that of the first row's model (prices: model, price_in, price_out for a
+    million tokens); without one it is 0.
+    """
+    key = ["query_id", "doc_id"]
+    good = rows.filter("status = 'ok'").groupBy(*key).agg(F.min(order).alias("first"), F.max_by(F.struct("tokens_in", "tokens_out", "labeler_model"), order).alias("x"))
+    tokens = lambda c: F.coalesce(F.sum(f"x.{c}"), F.lit(0)).cast("long")
+    total = good.agg(F.count(F.lit(1)).alias("n"), tokens("tokens_in").alias("i"), tokens("tokens_out").alias("o"), F.min_by("x.labeler_model", F.struct("first", *key)).alias("model"))
+    rate = lambda c: F.coalesce(c, F.lit(0.0))
+    usd = F.round((F.col("i") * rate("price_in") + F.col("o") * rate("price_out")) / 1e6, 9)
+    return total.join(prices, "model", "left").select(F.col("n").alias(f"n_rows_{side}"), F.col("i").alias(f"tokens_in_{side}"), F.col("o").alias(f"tokens_out_{side}"), usd.alias(f"usd_{side}"))
+
+
+def agreement_report(gold: DataFrame, predicted: DataFrame, prices: DataFrame, order: str = "ord") -> DataFrame:
+    """How a labeler's rows agree with gold, in one row.
+
+    Over pairs that both labeled: n_shared, exact, both_empty, and empties of one
+    side apart (missed: only the prediction is empty; extra: only gold is); mean and median of precision,
+    recall, f1 and jaccard; mean, median and maximum of the sets' sizes; f1_buckets, the counts of
+    the histogram's six buckets.  Over all rows of each side: rows, tokens
+    and cost, and how many times gold's cost the prediction's is in (null where that is 0).
+    Medians are exact; the values are ratios of set sizes, of which there are few.  Without a
+    shared pair counts are 0 and the rest null.
+    """
+    both = compare_labelers(gold, predicted, order).withColumns({"g": F.size(F.array_distinct("gold_ids")), "p": F.size(F.array_distinct("pred_ids"))})
+    rates, sizes = ("precision", "recall", "f1", "jaccard"), {"g": "gold", "p": "pred"}
+    low, high = (0.0, 0.001, 0.25, 0.5, 0.75, 0.999), (0.001, 0.25, 0.5, 0.75, 0.999, 1.0001)
+    found = both.agg(
+        F.count(F.lit(1)).alias("n_shared"), F.count_if((F.size(F.array_except("gold_ids", "pred_ids")) == 0) & (F.size(F.array_except("pred_ids", "gold_ids")) == 0)).alias("exact"),
+        F.count_if((F.col("g") == 0) & (F.col("p") == 0)).alias("both_empty"), F.count_if((F.col("g") > 0) & (F.col("p") == 0)).alias("missed"), F.count_if((F.col("g") == 0) & (F.col("p") > 0)).alias("extra"),
+        *(F.round(F.avg(c), 9).alias(f"mean_{c}") for c in rates), *(F.round(F.percentile(c, F.lit(0.5)), 9).alias(f"median_{c}") for c in rates),
+        *(F.round(F.avg(F.col(c).cast("double")), 9).alias(f"mean_size_{s}") for c, s in sizes.items()), *(F.percentile(c, F.lit(0.5)).alias(f"median_size_{s}") for c, s in sizes.items()), *(F.max(c).alias(f"max_size_{s}") for c, s in sizes.items()),
+        F.array(*(F.count_if((F.col("f1") >= a) & (F.col("f1") < b)) for a, b in zip(low, high, strict=True))).alias("f1_buckets"),
+    )
+    # three tables of one row each
+    one = F.lit(1).alias("__one")
+    whole = found.select("*", one).join(labeled_cost(gold, prices, "gold", order).select("*", one), "__one").join(labeled_cost(predicted, prices, "pred", order).select("*", one), "__one").drop("__one")
+    return whole.withColumn("usd_ratio", F.when(F.col("usd_pred") > 0, F.round(F.col("usd_gold") / F.col("usd_pred"), 9)))
+
+
 def predict_rows(units: DataFrame, max_length: int) -> DataFrame:
     """Rows (key columns, n_tokens, means, scores) within ``max_length`` with predicted ids and scores rounded half to even."""
     rows = units.filter(F.col("n_tokens") <= max_length)
