@@ -12,6 +12,7 @@ from siftline.functions.text import fragments
 from siftline.operators.align import align_rows
 from siftline.operators.assembly import pending, truthy
 from siftline.plans.dataset import MOST_UNITS, RETRIEVERS, gate_units
+from siftline.sources.shared import small
 
 #: What such rows name as their labeler and its version.
 MODEL, VERSION = "exa-highlights-v1", "exa_v1"
@@ -42,14 +43,15 @@ def label_highlights(queries: DataFrame, results: DataFrame, *, model: str = MOD
     without text or without units gives no row; one of more than ``most`` units
     is skipped:long(n), without its units; one whose highlight covers no unit
     is skipped:empty_align and keeps them.  Ids compare as strings.  Results and queries may
-    repeat: each pair of them has its row.
+    repeat: each pair of them has its row.  Queries few enough for a broadcast
+    leave the results where they are; their number is counted for that.
     """
     origin = RETRIEVERS["exa"].origin
     asked = queries if done is None else pending(queries, done, ["query_id"])
     if limit:
         asked = asked.orderBy(order).limit(limit)
     asked = asked.select(F.col("query_id").cast("string").alias("query_id"), "query", "topic", "intent")
-    rows = results.filter(truthy(results, "text")).withColumn("query_id", F.col("query_id").cast("string")).join(asked, "query_id")
+    rows = results.filter(truthy(results, "text")).withColumn("query_id", F.col("query_id").cast("string")).join(small(asked), "query_id")
     rows = rows.withColumn("units", cut(F.col("text"))).filter(F.size("units") > 0).withColumn("gate", gate_units(F.col("units"), most))
     short = F.col("gate") == "ok"
     none = F.array().cast("array<string>")
