@@ -90,13 +90,13 @@ def validated(df: DataFrame, query: str = "query", units: str = "units") -> tupl
 def token_labels(tokens_: DataFrame, units: DataFrame, key: str) -> DataFrame:
     """Tokens (key, k, start, stop) with unit_id and label: 1 in a relevant unit, 0 in another, -1 and -100 outside of all.
 
-    units: key, unit_id, unit_start, unit_end, relevant.
+    units: key, unit_id, unit_start, unit_end, relevant.  For tokens and units in two
+    tables: every token is shuffled once.  ``windows.span_labels`` takes those of one row, where they are.
     """
     from siftline.operators.scoring import interval_join
 
-    inside = interval_join(tokens_.select(key, "k", "start", "stop"), units, key).select(key, "k", "unit_id")
-    labeled = inside.join(units.select(key, "unit_id", F.col("relevant").cast("int").alias("label")), [key, "unit_id"])
-    out = tokens_.join(labeled, [key, "k"], "left")
+    spans = units.select(key, "unit_id", "unit_start", "unit_end", F.col("relevant").cast("int").alias("label"))
+    out = interval_join(tokens_, spans, key, also=("label",), outside=True)
     return out.withColumns({"unit_id": F.coalesce("unit_id", F.lit(-1)), "label": F.coalesce("label", F.lit(-100))})
 
 

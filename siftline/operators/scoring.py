@@ -17,24 +17,30 @@ from siftline.operators.windows import select_under_budget
 STRETCH = 1 << 16
 
 
-def interval_join(points: DataFrame, spans: DataFrame, key: str) -> DataFrame:
+def interval_join(points: DataFrame, spans: DataFrame, key: str, also: tuple[str, ...] = (), outside: bool = False) -> DataFrame:
     """Points (key, start, stop) with the unit of the same key whose span holds their midpoint.
 
-    Spans are disjoint; points in a gap are dropped.  Points and starts of
-    spans are put in one order, and the last span begun before a point is the
-    only one that can hold it; so a document costs a sort, not a product of
+    Spans are disjoint; points in a gap are dropped, or with ``outside`` kept with a
+    null unit, as are those without a key; columns ``also`` of the spans come along.
+    Points and starts of spans are put in one order, and the last span begun
+    before a point is the only one that can hold it; so a document costs a sort, not a product of
     its tokens and units.  Documents are dealt out in stretches of STRETCH
     characters; a span that goes on into a stretch is begun there again.
     """
     middle = F.floor((F.col("start") + F.col("stop")) / 2)
     first, last = F.floor(F.col("unit_start") / STRETCH), F.floor(F.greatest(F.col("unit_end") - 1, F.col("unit_start")) / STRETCH)
-    begun = spans.filter("unit_start < unit_end").select(F.col(key).alias("__k"), F.explode(F.sequence(first, last)).alias("__part"), F.struct("unit_id", "unit_end").alias("__span"), F.col("unit_start").alias("__at"))
+    begun = spans.filter("unit_start < unit_end").select(F.col(key).alias("__k"), F.explode(F.sequence(first, last)).alias("__part"), F.struct("unit_id", "unit_end", *also).alias("__span"), F.col("unit_start").alias("__at"))
     rows = points.select(F.col(key).alias("__k"), F.floor(middle / STRETCH).alias("__part"), middle.alias("__at"), F.struct(*points.columns).alias("__row"))
     both = begun.unionByName(rows, allowMissingColumns=True)
     # of a start and a point at one place the start is first
     order = Window.partitionBy("__k", "__part").orderBy("__at", F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     held = both.withColumn("__span", F.last("__span", ignorenulls=True).over(order))
-    return held.filter("__row IS NOT NULL AND __at < __span.unit_end").select("__row.*", "__span.unit_id")
+    if outside:
+        inside = F.col("__k").isNotNull() & (F.col("__at") < F.col("__span.unit_end"))
+        held = held.filter("__row IS NOT NULL").withColumn("__span", F.when(inside, F.col("__span")))
+    else:
+        held = held.filter("__row IS NOT NULL AND __at < __span.unit_end")
+    return held.select("__row.*", "__span.unit_id", *(F.col(f"__span.{c}") for c in also))
 
 
 def pool(units: DataFrame, scored: DataFrame, keys: list[str], token_threshold: float = 0.5, sentence_threshold: float = 0.5) -> DataFrame:

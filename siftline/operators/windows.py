@@ -52,6 +52,37 @@ def spans(units: Column) -> Column:
     return F.transform(zipped, lambda x: F.struct(x["at"].cast("int").alias("start"), (x["at"] + F.length(x["u"])).cast("int").alias("end")))
 
 
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _labels(middles: pa.Array, starts: pa.Array, ends: pa.Array, relevant: pa.Array) -> pa.Array:
+    points, offsets = numbers(middles)
+    begins, at = numbers(starts)
+    stops, marks, marked = numbers(ends)[0], *numbers(relevant)
+    out = np.empty(len(points), np.int32)
+    for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        begin, stop, mark = begins[at[k] : at[k + 1]], stops[at[k] : at[k + 1]], marks[marked[k] : marked[k + 1]]
+        ids = np.flatnonzero(begin < stop)
+        ids = ids[np.argsort(begin[ids], kind="stable")]
+        # of disjoint spans the last begun is the only one that can hold a point; -1 where none has begun
+        found = np.append(ids, -1)[np.searchsorted(begin[ids], points[a:b], "right") - 1]
+        labels = np.full(len(begin) + 1, -100, np.int32)
+        labels[: min(len(begin), len(mark))] = mark[: len(begin)]
+        out[a:b] = np.where(points[a:b] < np.append(stop, -1)[found], labels[found], -100)
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(out))
+
+
+def span_labels(points: Column, units: Column, relevant: Column) -> Column:
+    """For every point the label of the unit whose span holds its midpoint: 1 if the unit is relevant, 0 if not, -100 outside of all.
+
+    Points and units are arrays of [start, end) in one row, units disjoint, in
+    any order, ``relevant`` has a boolean for each.  Positions aren't negative;
+    null arrays are empty, points and units with a null end lie nowhere.
+    """
+    middles = F.transform(points, lambda p: F.coalesce(F.floor((p["start"] + p["end"]) / 2), F.lit(-1)).cast("long"))
+    starts = F.transform(units, lambda u: u["start"].cast("long"))
+    ends = F.transform(units, lambda u: F.when(u["start"] < u["end"], u["end"]).otherwise(0).cast("long"))
+    return _labels(middles, starts, ends, F.transform(relevant, lambda r: F.coalesce(r.cast("int"), F.lit(-100))))
+
+
 @F.arrow_udf(T.ArrayType(T.IntegerType()))
 def _windows(lengths: pa.Array, capacity: pa.Array) -> pa.Array:
     values, offsets = numbers(lengths)
